@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import langid, qualityrules, simhash, urlfilter
+from .shared import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +17,22 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexed("fp").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op2_simhash": op2_simhash}
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.trained(docs))
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
-SQL: dict[str, str] = {}
+
+def op4_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judged(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op10_qualityrules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = written(qualityrules.counted(table(spark, sf_dir, "documents")), "quality-stats")
+    rules = qualityrules.learned(stats, table(spark, sf_dir, "labels"))
+    return qualityrules.judged(stats, rules).select("doc_id", *qualityrules.BASE, "base_failed", "kept", "rule")
+
+
+QUERIES = {"op2_simhash": op2_simhash, "op3_langid": op3_langid, "op4_urlfilter": op4_urlfilter, "op10_qualityrules": op10_qualityrules}
+
+SQL = {"op4_urlfilter": urlfilter.duckdb_sql()}
