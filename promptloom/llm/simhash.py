@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .shared import as_bytes, components, written
 
-#: Fingerprints that a leaf should hold, sampled ones for each leaf of a tree, and those in one cell at most.
-LEAF, SAMPLES, CELL = 4096, 64, 8192
+#: Fingerprints that a leaf should hold, sampled ones for each leaf of a tree, homes and rows of one cell at most.
+LEAF, SAMPLES, HOMES, ROWS = 4096, 64, 8192, 1 << 20
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -146,20 +146,24 @@ def links(reps: DataFrame, radius: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), leaf * len(parts) + k)), pa.array(home), pa.array(first[rows]), pa.array(fp[rows])], ["shard", "home", "first", "fp"])
 
     shards = written(reps.select("first", "fp").mapInArrow(route, "shard long, home boolean, first long, fp long"), "simhash-shards")
-    # A shard beyond CELL rows is dealt out in square cells, so no task holds it whole.
-    large = shards.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > CELL)
-    cut = shards.join(large, "shard", "left").withColumn("k", F.coalesce(F.ceil(F.col("n") / (CELL // 2)), F.lit(1)).cast("int")).withColumn("b", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("k")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("k") - 1)
-    as_other = cut.select("shard", "first", "fp", F.lit(False).alias("home"), F.explode(every).alias("i"), F.col("b").alias("j")).where("i <> j")
-    as_home = cut.where("home").select("shard", "first", "fp", F.lit(True).alias("home"), F.col("b").alias("i"), F.explode(every).alias("j"))
-    own = cut.where("not home").select("shard", "first", "fp", F.lit(False).alias("home"), F.col("b").alias("i"), F.col("b").alias("j"))
+    # A shard with too many homes or rows is dealt out in cells (block of homes, block of all rows), so no task holds it whole.
+    large = shards.groupBy("shard").agg(F.count_if("home").alias("h"), F.count("*").alias("n")).where((F.col("h") > HOMES) | (F.col("n") > ROWS))
+    blocks = lambda c, most: F.coalesce(F.ceil(F.col(c) / most), F.lit(1)).cast("int")
+    cut = shards.join(large, "shard", "left").select("shard", "first", "fp", "home", blocks("h", HOMES).alias("ki"), blocks("n", ROWS).alias("kj"))
+    at = lambda k: F.pmod(F.xxhash64("fp", F.lit(7)), F.col(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    whole, dealt = cut.where("ki = 1 and kj = 1"), cut.where("ki > 1 or kj > 1")
+    cells = (
+        whole.select("shard", "first", "fp", "home", F.lit(0).alias("i"), F.lit(0).alias("j"))
+        .unionByName(dealt.where("home").select("shard", "first", "fp", "home", at("ki").alias("i"), every("kj").alias("j")))
+        .unionByName(dealt.select("shard", "first", "fp", F.lit(False).alias("home"), every("ki").alias("i"), at("kj").alias("j")))
+    )
 
     def meet(table: pa.Table) -> pa.Table:
         first, fp, home = (table.column(x).to_numpy() for x in ("first", "fp", "home"))
         u, v = forest_links(fp.view(np.uint64), home, radius)
         return pa.table({"u": pa.array(first[u], pa.int64()), "v": pa.array(first[v], pa.int64())})
 
-    cells = as_home.unionByName(as_other).unionByName(own)
     return cells.groupBy("shard", "i", "j").applyInArrow(meet, "u long, v long").distinct()
 
 
