@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, qualityrules, simhash, urlfilter
+from . import langid, qualityrules, secretscan, simhash, urlfilter
 from .shared import written
 
 
@@ -27,12 +27,17 @@ def op4_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judged(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_secretscan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secretscan.scan(docs, secretscan.trained(docs))
+
+
 def op10_qualityrules(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = written(qualityrules.counted(table(spark, sf_dir, "documents")), "quality-stats")
     rules = qualityrules.learned(stats, table(spark, sf_dir, "labels"))
     return qualityrules.judged(stats, rules).select("doc_id", *qualityrules.BASE, "base_failed", "kept", "rule")
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op3_langid": op3_langid, "op4_urlfilter": op4_urlfilter, "op10_qualityrules": op10_qualityrules}
+QUERIES = {"op2_simhash": op2_simhash, "op3_langid": op3_langid, "op4_urlfilter": op4_urlfilter, "op8_secretscan": op8_secretscan, "op10_qualityrules": op10_qualityrules}
 
 SQL = {"op4_urlfilter": urlfilter.duckdb_sql()}
