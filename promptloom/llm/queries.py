@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, qualityrules, secretscan, simhash, urlfilter
+from . import cws, langid, qualityrules, secretscan, simhash, urlfilter, warc
 from .shared import written
 
 
@@ -12,6 +12,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
     return found.select("doc_id", simhash.hexed("fp").alias("fingerprint"), "component_id")
@@ -27,6 +31,10 @@ def op4_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judged(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_cws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cws.fingerprinted(table(spark, sf_dir, "documents"))
+
+
 def op8_secretscan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secretscan.scan(docs, secretscan.trained(docs))
@@ -38,6 +46,15 @@ def op10_qualityrules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qualityrules.judged(stats, rules).select("doc_id", *qualityrules.BASE, "base_failed", "kept", "rule")
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op3_langid": op3_langid, "op4_urlfilter": op4_urlfilter, "op8_secretscan": op8_secretscan, "op10_qualityrules": op10_qualityrules}
+QUERIES = {"op1_warc": op1_warc, "op2_simhash": op2_simhash, "op3_langid": op3_langid, "op4_urlfilter": op4_urlfilter, "op5_cws": op5_cws, "op8_secretscan": op8_secretscan, "op10_qualityrules": op10_qualityrules}
 
-SQL = {"op4_urlfilter": urlfilter.duckdb_sql()}
+SQL = {
+    "op1_warc": """
+WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT p.page_id, p.payload_bytes, p.payload_digest, CASE WHEN first IS NOT NULL AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f ON f.payload_digest = p.payload_digest AND p.payload_bytes >= 100
+""",
+    "op4_urlfilter": urlfilter.duckdb_sql(),
+}
