@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cws, langid, pieces, qualityrules, secretscan, simhash, urlfilter, warc
+from . import cws, langid, pieces, qualityrules, secretscan, simhash, suffixes, urlfilter, warc
 from .shared import written
 
 
@@ -35,6 +35,10 @@ def op5_cws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cws.fingerprinted(table(spark, sf_dir, "documents"))
 
 
+def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.cleaned(table(spark, sf_dir, "documents"), length=100, bytes_too=False).drop("kept")
+
+
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.segmented(table(spark, sf_dir, "documents"), pieces.vocabulary())
 
@@ -50,7 +54,7 @@ def op10_qualityrules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qualityrules.judged(stats, rules).select("doc_id", *qualityrules.BASE, "base_failed", "kept", "rule")
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_simhash": op2_simhash, "op3_langid": op3_langid, "op4_urlfilter": op4_urlfilter, "op5_cws": op5_cws, "op7_pieces": op7_pieces, "op8_secretscan": op8_secretscan, "op10_qualityrules": op10_qualityrules}
+QUERIES = {"op1_warc": op1_warc, "op2_simhash": op2_simhash, "op3_langid": op3_langid, "op4_urlfilter": op4_urlfilter, "op5_cws": op5_cws, "op6_suffixes": op6_suffixes, "op7_pieces": op7_pieces, "op8_secretscan": op8_secretscan, "op10_qualityrules": op10_qualityrules}
 
 SQL = {
     "op1_warc": """
