@@ -170,27 +170,42 @@ def sampled(docs: DataFrame, per_lang: int, seed: int = 3) -> tuple[list[bytes],
     return texts, langs
 
 
+def judged(text: pa.Array, model: dict | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score and whether it is rejected, of each row of a text column."""
+    plain = re.compile("[A-Za-z]")
+    some = np.array([x is not None and (plain.search(x) is not None or any(map(str.isalpha, x))) for x in text.to_pylist()], bool)
+    lang, score = np.full(len(some), "und", object), np.zeros(len(some))
+    if model and len(some):
+        data, offsets = byte_rows(text)
+        p = softmax(averaged(data, offsets, model["table"], model["bias"]) / model["temperature"])
+        best = p.argmax(axis=1)
+        lang = np.where(some, np.array(model["names"], object)[best], "und")
+        score = np.where(some, p[np.arange(len(best)), best], 0.0)
+    return lang, np.clip(score, 0, 1), ~some | (score < (model or {"threshold": 0})["threshold"]) | (lang == "und")
+
+
 def identify(docs: DataFrame, model: dict | None) -> DataFrame:
     """(doc_id, lang_pred, score, rejected) of every row."""
-    names, plain = (model or {}).get("names", []), re.compile("[A-Za-z]")
 
     def run(batches):
         for batch in batches:
-            text = batch.column(1)
-            some = np.array([x is not None and (plain.search(x) is not None or any(map(str.isalpha, x))) for x in text.to_pylist()], bool)
-            lang, score = np.full(len(some), "und", object), np.zeros(len(some))
-            if model and len(some):
-                data, offsets = byte_rows(text)
-                p = softmax(averaged(data, offsets, model["table"], model["bias"]) / model["temperature"])
-                best = p.argmax(axis=1)
-                lang = np.where(some, np.array(names, object)[best], "und")
-                score = np.where(some, p[np.arange(len(best)), best], 0.0)
-            rejected = ~some | (score < (model or {"threshold": 0})["threshold"]) | (lang == "und")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang.tolist(), pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(rejected)], ["doc_id", "lang_pred", "score", "rejected"])
+            lang, score, rejected = judged(batch.column(1), model)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang.tolist(), pa.string()), pa.array(score), pa.array(rejected)], ["doc_id", "lang_pred", "score", "rejected"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
+def accepted(docs: DataFrame, model: dict | None) -> DataFrame:
+    """The rows that the model doesn't reject, with all their columns and without a shuffle."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(~judged(batch.column(at).cast(pa.string()), model)[2]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out():
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
 

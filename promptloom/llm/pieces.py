@@ -279,10 +279,10 @@ def decode(voc: Vocabulary, ids: np.ndarray, counts: np.ndarray) -> tuple[np.nda
 
 def segmented(docs: DataFrame, voc: Vocabulary, seed: int = 0, block: int = 2 << 20) -> DataFrame:
     """(doc_id, ids, n_pieces, decoded_sha256, lossless) of each document."""
-    shared = docs.sparkSession.sparkContext.broadcast(voc)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(voc))  # plain arrays
 
     def run(batches):
-        voc = shared.value
+        voc = Vocabulary(**shared.value)
         for batch in batches:
             data, offsets = byte_rows(batch.column(1))
             none = batch.column(1).is_null().to_numpy(zero_copy_only=False)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cws, langid, pieces, qualityrules, secretscan, simhash, suffixes, urlfilter, warc
+from . import cws, langid, mixing, pieces, qualityrules, secretscan, simhash, suffixes, urlfilter, warc
 from .shared import written
 
 
@@ -48,13 +48,21 @@ def op8_secretscan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.scan(docs, secretscan.trained(docs))
 
 
+#: Target shares of tokens by domain.
+WEIGHTS = {"q1t0": 0.80, "q0t0": 0.14, "q1t1": 0.05, "q0t1": 0.01}
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.weighted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), weights=WEIGHTS)
+
+
 def op10_qualityrules(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = written(qualityrules.counted(table(spark, sf_dir, "documents")), "quality-stats")
     rules = qualityrules.learned(stats, table(spark, sf_dir, "labels"))
     return qualityrules.judged(stats, rules).select("doc_id", *qualityrules.BASE, "base_failed", "kept", "rule")
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_simhash": op2_simhash, "op3_langid": op3_langid, "op4_urlfilter": op4_urlfilter, "op5_cws": op5_cws, "op6_suffixes": op6_suffixes, "op7_pieces": op7_pieces, "op8_secretscan": op8_secretscan, "op10_qualityrules": op10_qualityrules}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_simhash, op3_langid, op4_urlfilter, op5_cws, op6_suffixes, op7_pieces, op8_secretscan, op9_mixing, op10_qualityrules)}
 
 SQL = {
     "op1_warc": """
