@@ -26,11 +26,12 @@ from .shared import mixed
 
 STEP = np.uint64(0x9E3779B97F4A7C15)
 UNIT = np.float32(2.0**-21)
+PART = 16
 
 
-def drawn(terms: np.ndarray, samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def drawn(terms: np.ndarray, samples: range) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """r, ln c and beta for each term hash and sample."""
-    key = mixed(terms[:, None] + STEP * np.arange(1, samples + 1, dtype=np.uint64)[None, :])
+    key = mixed(terms[:, None] + STEP * (np.array(samples, np.uint64) + np.uint64(1))[None, :])
     more = mixed(key ^ STEP)
     u = lambda x, k: ((x >> np.uint64(21 * k)) & np.uint64(0x1FFFFF)).astype(np.float32) * UNIT + UNIT / 2
     r = -np.log(u(key, 0) * u(key, 1))
@@ -45,26 +46,30 @@ def sampled(bags: list[Counter], samples: int) -> np.ndarray:
     weight = np.array([n for bag in bags for n in bag.values()], np.float32)
     starts = np.concatenate([[0], np.cumsum([len(bag) for bag in bags])])
     terms = np.array([xxhash.xxh64_intdigest(w, 9) for w in number], np.uint64)
-    r, log_c, beta = drawn(terms, samples)
-    value = (log_c - r * (1 - beta))[of]  # t is 0 for a weight of 1
     heavy = np.flatnonzero(weight > 1)
-    rh, bh = r[of[heavy]], beta[of[heavy]]
-    level = np.floor(np.log(weight[heavy])[:, None] / rh + bh)
-    value[heavy] = log_c[of[heavy]] - rh * (level - bh + 1)
-    least = np.minimum.reduceat(value, starts[:-1], axis=0)
-    at, sample = np.nonzero(value == np.repeat(least, np.diff(starts), axis=0))
-    t = np.zeros(len(at), np.int64)
+    log_w = np.log(weight[heavy])[:, None]
     place = np.full(len(weight), -1)
     place[heavy] = np.arange(len(heavy))
-    some = place[at] >= 0
-    t[some] = level[place[at[some]], sample[some]].astype(np.int64)
     out = np.zeros((len(bags), samples), np.uint16)
-    row = np.searchsorted(starts, at, "right") - 1
-    out[row[::-1], sample[::-1]] = (mixed(terms[of[at]] + STEP * t.astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)[::-1]
+    for lo in range(0, samples, PART):  # few samples at a time stay in the cache
+        some = range(lo, min(lo + PART, samples))
+        r, log_c, beta = drawn(terms, some)
+        value = (log_c - r * (1 - beta))[of]  # t is 0 for a weight of 1
+        rh, bh = r[of[heavy]], beta[of[heavy]]
+        level = np.floor(log_w / rh + bh)
+        value[heavy] = log_c[of[heavy]] - rh * (level - bh + 1)
+        least = np.minimum.reduceat(value, starts[:-1], axis=0)
+        at, sample = np.nonzero(value == np.repeat(least, np.diff(starts), axis=0))
+        t = np.zeros(len(at), np.int64)
+        raised = place[at] >= 0
+        t[raised] = level[place[at[raised]], sample[raised]].astype(np.int64)
+        row = np.searchsorted(starts, at, "right") - 1
+        # of equal values the first term stands
+        out[row[::-1], lo + sample[::-1]] = (mixed(terms[of[at]] + STEP * t.astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)[::-1]
     return out
 
 
-def signatures(texts: list[bytes], samples: int, block: int = 40_000) -> list[bytes]:
+def signatures(texts: list[bytes], samples: int, block: int = 20_000) -> list[bytes]:
     """The fingerprint of each text, big-endian; empty for a text without words."""
     bags = [Counter(t.lower().split()) for t in texts]
     out, part, size = [b""] * len(texts), [], 0
@@ -98,8 +103,9 @@ def fingerprinted(docs: DataFrame, samples: int = 64) -> DataFrame:
         texts = [t for _, t in rows] + [behind[1]]
         plain = [t.decode() for t in texts]
         changed = [edited(a, b).encode() for a, b in zip(plain, plain[1:])]
-        sigs = signatures(texts + changed, samples)
-        own, new = sigs[: len(texts)], sigs[len(texts) :]
+        # a text beside its edit: they share most terms, whose draws then serve both
+        sigs = signatures([t for pair in zip(texts, changed) for t in pair] + texts[-1:], samples)
+        own, new = sigs[::2], sigs[1::2]
         columns = [
             pa.array([k for k, _ in rows], pa.int64()),
             pa.array([len(t) for t in plain[:-1]], pa.int64()),

@@ -67,11 +67,12 @@ def row_blocks(offsets: np.ndarray, size: int):
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """The finaliser of SplitMix64, elementwise."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))  # a new array; all else in place
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def hash_keep(column, fraction: float, seed: int):
