@@ -72,7 +72,7 @@ def vocabulary(path: str = MODEL, alpha: float = 1.0, offset: float = 10.0) -> V
             byte_id[int(name[3:5], 16)] = i
             texts[i] = bytes([int(name[3:5], 16)])
         elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
-            texts[i] = name.replace("▁", " ").encode()
+            texts[i] = name.replace("\u2581", " ").encode()
             plain.append(i)
     if (byte_id < 0).any():
         raise ValueError("a vocabulary with a piece for every byte is needed")

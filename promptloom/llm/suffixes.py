@@ -41,26 +41,21 @@ from .shared import byte_rows, mixed, row_blocks, written
 GRAM = 40
 #: Bytes of text for each range of grams; surroundings of one gram in a batch from which it is spread; anchors of one
 #: gram beyond which its suffixes are dealt one by one; anchors sorted at once; suffixes for each bucket.
-RANGE, HOT, LED, BLOCK, BUCKET = 16 << 20, 256, 20_000, 20_000, 400_000
+RANGE, HOT, LED, BLOCK, BUCKET = 8 << 20, 256, 20_000, 5_000, 400_000
 
 ANCHOR = np.dtype([("key", "<u8"), ("ctx", "<u8"), ("k", "<i8"), ("th", "<i8"), ("pos", "<u4"), ("off", "u1"), ("cnt", "u1")])
 SPANS, LEFT = 0, 1
 
 
-def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
-    """A hash of the bytes [i, i + size) for each i, by doubling."""
-    h = mixed(data.astype(np.uint64) + np.uint64(1))
-    have, parts, done = 1, None, 0
-    while True:
-        if size & have:
-            parts = h if parts is None else mixed(parts[: len(h) - done] * np.uint64(3) + h[done : done + len(parts)][: len(h) - done]) if len(h) > done else h[:0]
-            done += have
-        if done == size:
-            return parts[: max(0, len(data) - size + 1)]
-        if len(h) <= have:
-            return h[:0]
-        h = mixed(h[:-have] * np.uint64(5) + h[have:])
-        have *= 2
+def running(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of a polynomial over random byte values, and what brings the hash of [a, b) to one scale: (sums[b] - sums[a]) * back[a]."""
+    value = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64)
+    powers = np.full(len(data) + 1, 0x9E3779B97F4A7C15, np.uint64)
+    back = np.full(len(data) + 1, pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64)
+    powers[0] = back[0] = 1
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(value[data] * np.cumprod(powers, out=powers)[:-1], out=sums[1:])
+    return sums, np.cumprod(back, out=back)
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -76,30 +71,25 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """(row, place, windows before it, windows, gram hash, surroundings hash) of the anchors of all rows."""
-    width = length - GRAM + 1
-    grams = gram_hashes(data, GRAM)
-    if not len(grams):
+    if len(data) < length:
         return tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64),) * 2
-    least = sliding_min((grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64), width)
-    sizes = np.diff(offsets)
-    number = np.maximum(0, sizes - length + 1)
-    row = np.repeat(np.arange(len(sizes)), number)
-    start = np.arange(len(row)) - np.repeat(np.cumsum(number) - number, number) + offsets[:-1][row]
-    at = (least[start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
-    place, first = at[new], start[new]
-    count = np.diff(np.append(new, len(at)))
-    rng = np.random.default_rng(11)
-    value = rng.integers(1, 2**63, 256, dtype=np.uint64)
-    powers = np.full(len(data) + 1, 0x9E3779B97F4A7C15, np.uint64)
-    back = np.full(len(data) + 1, pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64)
-    powers[0] = back[0] = 1
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(value[data] * np.cumprod(powers)[:-1], out=sums[1:])
-    back = np.cumprod(back)
+    sums, back = running(data)
+    grams = mixed((sums[GRAM:] - sums[:-GRAM]) * back[: len(data) - GRAM + 1])
+    least = sliding_min((grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64), length - GRAM + 1)
+    least &= np.uint64(0xFFFFFFFF)
+    begin = np.ones(len(least) + 1, bool)
+    begin[1:-1] = least[1:] != least[:-1]
+    begin[np.minimum(offsets, len(least))] = True  # where rows begin
+    begin[np.clip(offsets[1:] - length + 1, 0, len(least))] = True  # and where their windows end
+    cut = np.flatnonzero(begin)
+    first, count = cut[:-1], np.diff(cut)
+    row = np.searchsorted(offsets, first, "right") - 1
+    inside = first + length <= offsets[row + 1]
+    row, first, count = row[inside], first[inside], count[inside]
+    place = least[first].astype(np.int64)
     ends = first + count - 1 + length
     ctx = mixed((sums[ends] - sums[first]) * back[first] + ((place - first) << 32 | (ends - first)).astype(np.uint64))
-    return row[new], place, place - first, count, grams[place], ctx
+    return row, place, place - first, count, grams[place], ctx
 
 
 def packed(rows: np.ndarray) -> bytes:
@@ -114,8 +104,14 @@ def unpacked(blob: bytes, kind: np.dtype) -> np.ndarray:
 
 
 def in_order(rows: np.ndarray) -> np.ndarray:
-    """Sorted by gram, surroundings, document and place."""
-    return rows[np.lexsort((rows["pos"], rows["th"], rows["k"], rows["ctx"], rows["key"]))]
+    """Sorted by gram and surroundings, and where these are equal by document and place."""
+    rows = rows[np.lexsort((rows["ctx"], rows["key"]))]
+    same = (rows["key"][1:] == rows["key"][:-1]) & (rows["ctx"][1:] == rows["ctx"][:-1])
+    tied = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+    some = rows[tied]
+    if len(some):
+        rows[tied] = some[np.lexsort((some["pos"], some["th"], some["k"], some["ctx"], some["key"]))]
+    return rows
 
 
 def first_of_class(rows: np.ndarray) -> np.ndarray:
@@ -172,7 +168,7 @@ def met(rows: DataFrame, n_ranges: int, length: int) -> DataFrame:
             ks, ths = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             data, offsets = byte_rows(batch.column(2))
             parts = []
-            for a, b in row_blocks(offsets, 4 << 20):
+            for a, b in row_blocks(offsets, 1 << 20):
                 row, place, off, cnt, key, ctx = anchors(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length)
                 part = np.zeros(len(row), ANCHOR)
                 part["key"], part["ctx"], part["k"], part["th"] = key, ctx, ks[a:b][row], ths[a:b][row]
