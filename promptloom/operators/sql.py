@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +21,6 @@ _NAMES = [x.split()[0] for x in _FINDING.split(", ")]
 
 
 def _scalar(spark: SparkSession, name: str, make: Callable[[], Callable], returns: str = "string") -> None:
-    import pandas as pd
-
     @F.pandas_udf(returns)
     def run(texts: pd.Series) -> pd.Series:
         call = make()
@@ -46,8 +45,6 @@ def register(spark: SparkSession, options: Options = Options()) -> None:
         _scalar(spark, name, lambda f=function: f)
     _scalar(spark, "summarize", lambda: lambda x: summary.summarize(x)[0])
 
-    import pandas as pd
-
     @F.pandas_udf("int")
     def prefix(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([cacheable_prefix_end(x, y) for x, y in zip(a.astype(object).where(a.notna(), None), b.astype(object).where(b.notna(), None))])

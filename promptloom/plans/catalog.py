@@ -509,11 +509,12 @@ QUIET_S = 3600
     f"""
 WITH g AS (SELECT user_id, ts, event_type || ':' || event_id AS text, CASE WHEN ts - lag(ts) OVER w <= INTERVAL {QUIET_S} SECOND THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM g)
-SELECT user_id AS session_id, max(ts) AS ts, max_by(text, ts) AS text FROM s GROUP BY user_id, burst"""
+SELECT user_id AS session_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS ts, max({{'a': ts, 'b': text}}).b AS text FROM s GROUP BY user_id, burst"""
 )
 def watcher_debounce(spark, sf_dir):
     feeds = table(spark, sf_dir, "events").select("user_id", "ts", F.concat_ws(":", "event_type", "event_id").alias("text"))
-    return watcher.debounced(feeds, session="user_id", debounce_ms=QUIET_S * 1000)
+    last = watcher.debounced(feeds, session="user_id", debounce_ms=QUIET_S * 1000)
+    return last.select("session_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "text")
 
 
 @query()

@@ -20,7 +20,7 @@ def drafts(rows: DataFrame, key: str | list[str], text: str | Column = "text") -
 
 def text_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """One row a file: its path and whole text."""
-    return spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    return spark.read.option("pathGlobFilter", glob).text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
 def feeds(spark: SparkSession, path: str, schema: StructType | str, session: str = "session_id", ts: str = "ts", text: str = "text", files_a_batch: int = 100) -> DataFrame:

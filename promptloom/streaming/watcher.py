@@ -75,32 +75,51 @@ def analyzed(settled: DataFrame, options: Options = Options(), rules: Iterable[R
     )
 
 
-def watched(feeds: DataFrame, options: Options = Options(), rules: Iterable[Rule] | None = None, debounce_ms: int = DEBOUNCE_MS, watermark: str = "1 second", idle_ms: int | None = None) -> DataFrame:
-    """The stream of events for drafts (session_id, ts, text). State per session: the last text analysed."""
+def watched(feeds: DataFrame, options: Options = Options(), rules: Iterable[Rule] | None = None, debounce_ms: int = DEBOUNCE_MS, watermark: str = "1 second") -> DataFrame:
+    """The stream of events for drafts (session_id, ts, text).
+
+    One stateful operator debounces and analyses: a session's state is its pending version and the last
+    text analysed. The pending one settles when a later version comes more than the quiet time behind it, or when the
+    watermark has passed that time. A version older than the pending one is ignored.
+    """
     rules = None if rules is None else list(rules)
-    settled = debounced(feeds, debounce_ms=debounce_ms, watermark=watermark).select(F.col("session_id").cast("string").alias("session_id"), "ts", "text")
-    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    quiet = debounce_ms * 1000
+    rows = feeds.withWatermark("ts", watermark).select(F.col("session_id").cast("string").alias("session_id"), "ts", F.unix_micros("ts").alias("us"), "text")
+    out = T.StructType([T.StructField("us", T.LongType()) if f.name == "ts" else f for f in EVENT.fields])
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         engine = Engine(options, rules)
-        last = state.get[0] if state.exists else None
-        before = engine.find(last) if last is not None else []
-        rows = pd.concat(list(batches)).sort_values("ts")
-        out = []
-        for ts, text in zip(rows["ts"], rows["text"]):
-            found, short, now, after = engine.analyze(text)
+        last, pending, pending_us = state.get if state.exists else (None, None, None)
+        before = None
+        events = []
+
+        def settle() -> None:
+            nonlocal last, before, pending, pending_us
+            if before is None:
+                before = engine.find(last) if last is not None else []
+            found, short, now, after = engine.analyze(pending)
             new, gone, same = diff_findings(before, found)
-            out.append((key[0], ts, text, [as_row(f) for f in found], [as_row(f) for f in new], gone, same, max(0, int(now) - int(after)), short, int(now), int(after), cacheable_prefix_end(last, text)))
-            last, before = text, found
-        state.update((last,))
-        if idle_ms is not None:
-            state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(out, columns=EVENT.names)
-
-    return settled.groupBy("session_id").applyInPandasWithState(step, EVENT, "last string", "append", timeout)
+            events.append((key[0], pending_us, pending, [as_row(f) for f in found], [as_row(f) for f in new], gone, same, max(0, int(now) - int(after)), short, int(now), int(after), cacheable_prefix_end(last, pending)))
+            last, before, pending, pending_us = pending, found, None, None
+
+        if not state.hasTimedOut:
+            versions = pd.concat([b[["us", "text"]] for b in batches])
+            for us, text in sorted((int(u), t) for u, t in zip(versions["us"], versions["text"]) if t is not None):
+                if pending_us is not None and us - pending_us > quiet:
+                    settle()
+                if pending_us is None or us >= pending_us:
+                    pending, pending_us = text, us
+        due = None if pending_us is None else (pending_us + quiet) // 1000 + 1
+        if due is not None and due <= state.getCurrentWatermarkMs():
+            settle()
+            due = None
+        state.update((last, pending, pending_us))
+        if due is not None:
+            state.setTimeoutTimestamp(due)
+        yield pd.DataFrame(events, columns=out.names)
+
+    found = rows.groupBy("session_id").applyInPandasWithState(step, out, "last string, pending string, pending_us long", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select(*(F.timestamp_micros("us").alias("ts") if f.name == "ts" else f.name for f in EVENT.fields))
 
 
 def listen(events: DataFrame, listener: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = True) -> StreamingQuery:
