@@ -87,6 +87,8 @@ def learned(stats: DataFrame, labels: DataFrame, label: str = "quality", bins: i
     share = [k / bins for k in range(1, bins)] + [0.95, 0.98, 0.99, 0.995]
     cuts = rows.agg(*(F.percentile_approx(f, [0.005, 0.01, 0.02, 0.05, *share], 10_000).alias(f) for f in FEATURES)).first()
     edges = {f: sorted(set(cuts[f] or [])) for f in FEATURES}
+    if not any(edges.values()):
+        return []
     place = lambda f: sum((F.when(F.col(f) > F.lit(e), 1).otherwise(0) for e in edges[f]), F.lit(0))
     cube = rows.groupBy("half", *(place(f).alias(f) for f in FEATURES)).agg(F.sum(F.when(F.col("y") == 0, 1).otherwise(0)).alias("bad"), F.sum(F.when(F.col("y") == 0, 0).otherwise(1)).alias("good"))
     # a threshold stands halfway to the next value that a labelled row has

@@ -39,9 +39,9 @@ from .ordered import NO_ID
 from .shared import byte_rows, mixed, row_blocks, written
 
 GRAM = 40
-#: Bytes of text for each range of grams; surroundings of one gram in a batch from which it is spread; anchors of one
+#: Bytes of text that a task compares within itself, and for each range of grams; surroundings of one gram in a batch from which it is spread; anchors of one
 #: gram beyond which its suffixes are dealt one by one; anchors sorted at once; suffixes for each bucket.
-RANGE, HOT, LED, BLOCK, BUCKET = 8 << 20, 256, 20_000, 5_000, 400_000
+BATCH, RANGE, HOT, LED, BLOCK, BUCKET = 8 << 20, 8 << 20, 256, 5_000, 5_000, 400_000
 
 ANCHOR = np.dtype([("key", "<u8"), ("ctx", "<u8"), ("k", "<i8"), ("th", "<i8"), ("pos", "<u4"), ("off", "u1"), ("cnt", "u1")])
 SPANS, LEFT = 0, 1
@@ -89,7 +89,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     place = least[first].astype(np.int64)
     ends = first + count - 1 + length
     ctx = mixed((sums[ends] - sums[first]) * back[first] + ((place - first) << 32 | (ends - first)).astype(np.uint64))
-    return row, place, place - first, count, grams[place], ctx
+    return row, place, place - first, count, mixed(grams[place]), ctx  # anew, since anchors have small hashes
 
 
 def packed(rows: np.ndarray) -> bytes:
@@ -105,6 +105,8 @@ def unpacked(blob: bytes, kind: np.dtype) -> np.ndarray:
 
 def in_order(rows: np.ndarray) -> np.ndarray:
     """Sorted by gram and surroundings, and where these are equal by document and place."""
+    if len(rows) < 2:
+        return rows
     rows = rows[np.lexsort((rows["ctx"], rows["key"]))]
     same = (rows["key"][1:] == rows["key"][:-1]) & (rows["ctx"][1:] == rows["ctx"][:-1])
     tied = np.concatenate([same, [False]]) | np.concatenate([[False], same])
@@ -165,34 +167,36 @@ def met(rows: DataFrame, n_ranges: int, length: int) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ks, ths = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             data, offsets = byte_rows(batch.column(2))
-            parts = []
-            for a, b in row_blocks(offsets, 1 << 20):
-                row, place, off, cnt, key, ctx = anchors(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length)
-                part = np.zeros(len(row), ANCHOR)
-                part["key"], part["ctx"], part["k"], part["th"] = key, ctx, ks[a:b][row], ths[a:b][row]
-                part["pos"], part["off"], part["cnt"] = place - (offsets[a:b][row] - offsets[a]), off, cnt
-                parts.append(part)
-            every = in_order(np.concatenate(parts)) if parts else np.zeros(0, ANCHOR)
-            keep = first_of_class(every)
-            yield as_batch([(n_ranges + k % n_ranges, kind, k, th, x) for kind, k, th, x in by_document(every[~keep], SPANS, length)])
-            every = every[keep]
-            if not len(every):
-                continue
-            new = np.concatenate([[True], every["key"][1:] != every["key"][:-1]])
-            many = np.diff(np.append(np.flatnonzero(new), len(every))) > HOT
-            hot = many[np.cumsum(new) - 1]
-            home = ((every["key"] >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32)).astype(np.int64)
-            spread = 2 * n_ranges + (every["ctx"] % np.uint64(n_ranges)).astype(np.int64)
-            bucket = np.where(hot, spread, home)
-            mark = every[new & hot].copy()
-            mark["cnt"] = 0  # says that the gram has other surroundings elsewhere
-            rows_out, bucket = np.concatenate([every, mark]), np.concatenate([bucket, home[new & hot]])
-            order = np.argsort(bucket, kind="stable")
-            rows_out, bucket = rows_out[order], bucket[order]
-            cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            yield as_batch([(int(bucket[a]), -1, 0, 0, packed(rows_out[a:b])) for a, b in zip(cuts, np.append(cuts[1:], len(bucket)))])
+            for a, b in row_blocks(offsets, BATCH):
+                yield from anchored(batch.column(0).slice(a, b - a).to_numpy(), batch.column(1).slice(a, b - a).to_numpy(), data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+
+    def anchored(ks: np.ndarray, ths: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for a, b in row_blocks(offsets, 1 << 20):
+            row, place, off, cnt, key, ctx = anchors(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length)
+            part = np.zeros(len(row), ANCHOR)
+            part["key"], part["ctx"], part["k"], part["th"] = key, ctx, ks[a:b][row], ths[a:b][row]
+            part["pos"], part["off"], part["cnt"] = place - (offsets[a:b][row] - offsets[a]), off, cnt
+            parts.append(part)
+        every = in_order(np.concatenate(parts)) if parts else np.zeros(0, ANCHOR)
+        del parts
+        keep = first_of_class(every)
+        yield as_batch([(n_ranges + k % n_ranges, kind, k, th, x) for kind, k, th, x in by_document(every[~keep], SPANS, length)])
+        every = every[keep]
+        if not len(every):
+            return
+        new = np.concatenate([[True], every["key"][1:] != every["key"][:-1]])
+        many = np.diff(np.append(np.flatnonzero(new), len(every))) > HOT
+        hot = many[np.cumsum(new) - 1]
+        mark = every[new & hot]
+        mark["cnt"] = 0  # says that the gram has other surroundings elsewhere
+        home = lambda key: ((key >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32)).astype(np.int64)
+        bucket = np.where(hot, 2 * n_ranges + (every["ctx"] % np.uint64(n_ranges)).astype(np.int64), home(every["key"]))
+        for rows, of in ((every, bucket), (mark, home(mark["key"]))):
+            order = np.argsort(of, kind="stable")
+            cuts = np.searchsorted(of[order], np.unique(of))
+            yield as_batch([(int(of[order[x]]), -1, 0, 0, packed(rows[order[x:y]])) for x, y in zip(cuts, np.append(cuts[1:], len(order)))])
 
     def meet(table: pa.Table) -> pa.Table:
         kinds = table.column("kind").to_pylist()
@@ -251,7 +255,8 @@ def as_words(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     """The strings of `length` bytes from each start, as big-endian words filled up with zeros."""
     wide = -(-length // 8) * 8
     out = np.zeros((len(starts), wide), np.uint8)
-    out[:, :length] = data[starts[:, None] + np.arange(length)]
+    if len(starts):
+        out[:, :length] = np.lib.stride_tricks.sliding_window_view(data, length)[starts]
     return out.view(">u8").astype(np.uint64)
 
 
@@ -334,7 +339,7 @@ def repeated_far(segs: DataFrame, n: int, length: int) -> DataFrame:
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
                 data, starts, k, th, p = windows(part.column(3).to_pylist(), *(part.column(x).to_numpy() for x in range(3)), length)
-                block = np.ascontiguousarray(data[starts[:, None] + np.arange(length)])
+                block = np.lib.stride_tricks.sliding_window_view(data, length)[starts]
                 w = pa.FixedSizeBinaryArray.from_buffers(pa.binary(length), len(starts), [None, pa.py_buffer(block.tobytes())]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([w, pa.array(k), pa.array(th), pa.array(p)], ["w", "k", "th", "p"])
 
