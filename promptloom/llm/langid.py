@@ -69,7 +69,7 @@ def averaged(data: np.ndarray, offsets: np.ndarray, folded: np.ndarray, bias: np
     n = len(offsets) - 1
     out = np.zeros((n, folded.shape[1]))
     count = np.zeros(n)
-    for a, b in row_blocks(offsets, 1 << 20):
+    for a, b in row_blocks(offsets, 1 << 18):
         bucket, row = grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], len(folded))
         count[a:b] = np.bincount(row, minlength=b - a)
         for k in range(folded.shape[1]):
@@ -98,12 +98,19 @@ def segments(texts: list[bytes], labels: np.ndarray, rng, pieces: int) -> tuple[
 
 
 def features(texts: list[bytes], buckets: int):
+    """Where the grams of each text start, and bucket and share of each distinct one; worked out some hundred kB at a time."""
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
-    bucket, row = grams(np.frombuffer(b"".join(texts), np.uint8), offsets, buckets)
-    key, n = np.unique(row.astype(np.int64) * buckets + bucket, return_counts=True)
-    row, bucket = key // buckets, key % buckets
-    weight = n / np.maximum(np.bincount(row, weights=n, minlength=len(texts)), 1)[row]
-    return np.searchsorted(row, np.arange(len(texts) + 1)), bucket, weight
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    sizes, found, shares = np.zeros(len(texts), np.int64), [], []
+    for a, b in row_blocks(offsets, 1 << 18):
+        bucket, row = grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], buckets)
+        key, n = np.unique(row.astype(np.int64) * buckets + bucket, return_counts=True)
+        row = key // buckets
+        sizes[a:b] = np.bincount(row, minlength=b - a)
+        found.append((key % buckets).astype(np.int32))
+        shares.append((n / np.maximum(np.bincount(row, weights=n, minlength=b - a), 1)[row]).astype(np.float32))
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    return at, np.concatenate(found) if found else np.zeros(0, np.int32), np.concatenate(shares) if shares else np.zeros(0, np.float32)
 
 
 def train(texts: list[bytes], langs: list[str], buckets: int = 1 << 16, dim: int = 16, epochs: int = 8, rate: float = 2.0, seed: int = 1, accept: float = 0.999) -> dict:
@@ -128,7 +135,7 @@ def train(texts: list[bytes], langs: list[str], buckets: int = 1 << 16, dim: int
             which = np.repeat(np.arange(len(batch)), at[batch + 1] - at[batch])
             if not len(pick):
                 continue
-            b, w = bucket[pick], weight[pick].astype(np.float32)
+            b, w = bucket[pick], weight[pick]
             mean = np.zeros((len(batch), dim), np.float32)
             np.add.at(mean, which, emb[b] * w[:, None])
             p = softmax(mean @ out + bias)

@@ -277,7 +277,7 @@ def decode(voc: Vocabulary, ids: np.ndarray, counts: np.ndarray) -> tuple[np.nda
     return data[keep], ends - np.concatenate([[0], np.cumsum(counts > 0)])
 
 
-def segmented(docs: DataFrame, voc: Vocabulary, seed: int = 0, block: int = 2 << 20) -> DataFrame:
+def segmented(docs: DataFrame, voc: Vocabulary, seed: int = 0, block: int = 1 << 19) -> DataFrame:
     """(doc_id, ids, n_pieces, decoded_sha256, lossless) of each document."""
     shared = docs.sparkSession.sparkContext.broadcast(vars(voc))  # plain arrays
 

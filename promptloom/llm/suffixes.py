@@ -32,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ from .shared import byte_rows, mixed, row_blocks, written
 GRAM = 40
 #: Bytes of text that a task compares within itself, and for each range of grams; surroundings of one gram in a batch from which it is spread; anchors of one
 #: gram beyond which its suffixes are dealt one by one; anchors sorted at once; suffixes for each bucket.
-BATCH, RANGE, HOT, LED, BLOCK, BUCKET = 8 << 20, 8 << 20, 256, 5_000, 5_000, 400_000
+BATCH, RANGE, HOT, LED, BLOCK, BUCKET = 8 << 20, 8 << 20, 256, 5_000, 2_000, 400_000
 
 ANCHOR = np.dtype([("key", "<u8"), ("ctx", "<u8"), ("k", "<i8"), ("th", "<i8"), ("pos", "<u4"), ("off", "u1"), ("cnt", "u1")])
 SPANS, LEFT = 0, 1
@@ -281,13 +282,20 @@ def cut_out(rows: DataFrame, left: DataFrame, length: int) -> DataFrame:
     fields = ["lead", "k", "th", "p", "seg"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        as_batch = lambda out: pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], fields)
         for batch in batches:
-            for k, th, text, blobs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist()):
+            out = []
+            for i in range(batch.num_rows):
+                k, th, text, blobs = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_buffer().to_pybytes(), batch.column(3)[i].as_py()
                 at = np.concatenate([np.frombuffer(x, "<u4").reshape(3, -1) for x in blobs], axis=1).astype(np.int64)
-                at = at[:, np.argsort(at[0], kind="stable")].T.tolist()
-                leads = [text[pos : pos + GRAM] for pos, _, _ in at]
-                segs = [text[pos - off : pos - off + cnt - 1 + length] for pos, off, cnt in at]
-                yield pa.RecordBatch.from_arrays([pa.array(leads, pa.binary()), pa.array([k] * len(at), pa.int64()), pa.array([th] * len(at), pa.int64()), pa.array([pos - off for pos, off, _ in at], pa.int64()), pa.array(segs, pa.binary())], fields)
+                for pos, off, cnt in at[:, np.argsort(at[0], kind="stable")].T.tolist():
+                    out.append((text[pos : pos + GRAM], k, th, pos - off, text[pos - off : pos - off + cnt - 1 + length]))
+                if len(out) >= 5_000:
+                    yield as_batch(out)
+                    out = []
+            if out:
+                yield as_batch(out)
 
     asked = left.groupBy("k", "th").agg(F.collect_list("data").alias("blobs"))
     return rows.join(asked, ["k", "th"]).select("k", "th", "text", "blobs").mapInArrow(run, "lead binary, k long, th long, p long, seg binary")
@@ -314,8 +322,8 @@ def repeated_near(segs: DataFrame, n: int, length: int) -> DataFrame:
             return span_rows(k[again], th[again], p[again], length)
 
         for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) >= BLOCK:
+            for a in range(0, batch.num_rows, BLOCK):
+                held.append(batch.slice(a, BLOCK))
                 table = pa.Table.from_batches(held)
                 leads = table.column("lead").to_pylist()
                 cut = len(leads) - 1
@@ -350,7 +358,8 @@ def repeated_far(segs: DataFrame, n: int, length: int) -> DataFrame:
         k, th, p = (table.column(x).to_numpy() for x in ("k", "th", "p"))
         by = np.lexsort((p, th, k))
         k, th, p = k[by], th[by], p[by]
-        raw = np.frombuffer(b"".join(table.column("w").to_pylist()), np.uint8)
+        raw = byte_rows(table.column("w").combine_chunks())[0]
+        del table
         starts = by * length
         order, head = multikey(as_words(raw, starts, length))
         again = later_equal(order, head, k, th, p)
@@ -376,17 +385,19 @@ def cleaned(docs: DataFrame, length: int = 100, bytes_too: bool = True) -> DataF
     rows = keyed(docs)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     found = met(rows, max(1, size // RANGE), length)
-    segs = written(cut_out(rows, found.where(F.col("kind") == LEFT), length), "suffix-segments")
+    # used four times and soon done with: kept on the executors' disks, and cut anew if one of them is lost
+    segs = cut_out(rows, found.where(F.col("kind") == LEFT), length).persist(StorageLevel.DISK_ONLY)
     n = segs.count()
     spans = [found.where(F.col("kind") == SPANS).select("k", "th", "data")]
     if n:
         led = segs.groupBy("lead").agg(F.count("*").alias("n")).where(F.col("n") > LED).select("lead")
         far = segs.join(led, "lead", "left_semi")
         near = segs.join(led, "lead", "left_anti")
-        spans.append(repeated_near(near, max(1, n // (BUCKET // 40)), length))
+        spans.append(written(repeated_near(near, max(1, 8 * n // BUCKET), length), "suffix-near"))
         n_far = far.count()
         if n_far:
             spans.append(repeated_far(far, max(1, 40 * n_far // BUCKET), length))
+    segs.unpersist()
     every = spans[0]
     for more in spans[1:]:
         every = every.unionByName(more)
@@ -395,7 +406,8 @@ def cleaned(docs: DataFrame, length: int = 100, bytes_too: bool = True) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for k, text, blobs in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
+            for i in range(batch.num_rows):
+                k, text, blobs = batch.column(0)[i].as_py(), batch.column(1)[i].as_buffer().to_pybytes(), batch.column(2)[i].as_py()
                 kept, n_removed, n_spans = text, 0, 0
                 if blobs:
                     s, e = merged(*np.concatenate([np.frombuffer(x, "<u4").reshape(2, -1) for x in blobs], axis=1).astype(np.int64))
