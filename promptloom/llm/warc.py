@@ -71,10 +71,16 @@ def parsed(raw: bytes) -> dict:
     return {"page_id": urn(fields["WARC-Record-ID"]), "url": fields["WARC-Target-URI"], "payload": payload, "payload_bytes": int(fields["WARC-Payload-Length"]), "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": urn(refers) if refers else None}
 
 
-def dictionary(samples: list[bytes], size: int = 64 << 10) -> bytes:
-    """A dictionary of records, or no bytes where there are too few to train one."""
+def dictionary(samples: list[bytes], size: int = 64 << 10, segment: int = 256, gram: int = 8) -> bytes:
+    """A dictionary of records by the cover algorithm, or no bytes where there is too little to train one.
+
+    Segment and gram are given: the search for the best of them may not end on small or uniform samples.
+    """
+    total = sum(map(len, samples))
+    if len(samples) < 8 or total < 16 * segment or min(map(len, samples)) < gram:
+        return b""
     try:
-        return zstandard.train_dictionary(min(size, max(256, sum(map(len, samples)) // 10)), samples).as_bytes() if len(samples) >= 8 else b""
+        return zstandard.train_dictionary(min(size, total // 10), samples, k=segment, d=gram).as_bytes()
     except zstandard.ZstdError:
         return b""
 
