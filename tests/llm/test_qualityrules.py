@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 from promptloom.llm import qualityrules, queries
+from promptloom.llm.shared import written
 
 
 def brute(text):
@@ -67,7 +68,7 @@ def test_nothing_to_learn(spark, odd):
 def test_learned_rules_reject_symbols(spark, small):
     folder = small.replace("sf0.001", "sf0.1")
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
-    stats = qualityrules.counted(docs)
+    stats = written(qualityrules.counted(docs), "stats")
     rules = qualityrules.learned(stats, labels)
     assert rules
     judged = qualityrules.judged(stats, rules).join(labels, "doc_id").where("not base_failed")
