@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,43 +101,54 @@ def learned(stats: DataFrame, labels: DataFrame, label: str = "quality", bins: i
 
 def covering(cells: list[tuple[bool, tuple[int, ...], int, int]], edges: dict[str, list[float]], min_precision: float, min_cover: int, max_rules: int) -> list[list[tuple[str, str, float]]]:
     """Sequential covering on the cube: grow by FOIL gain on one half, prune on the other (True)."""
+    if not cells:
+        return []
     names = list(edges)
     tests = [(k, op, at) for k, f in enumerate(names) for at in range(len(edges[f])) for op in (">", "<=")]
-    holds = lambda cell, rule: all((cell[1][k] > at) == (op == ">") for k, op, at in rule)
-    tally = lambda some: (sum(c[2] for c in some), sum(c[3] for c in some))
+    prune = np.array([c[0] for c in cells])
+    place = np.array([c[1] for c in cells]).reshape(len(cells), len(names))
+    bad, good = (np.array([c[i] for c in cells], np.int64) for i in (2, 3))
+    left = np.ones(len(cells), bool)
+
+    def holds(rule) -> np.ndarray:
+        out = left.copy()
+        for k, op, at in rule:
+            out &= (place[:, k] > at) == (op == ">")
+        return out
 
-    def worth(rule, part):
-        bad, good = tally([c for c in part if holds(c, rule)])
-        return (bad + 1) / (bad + good + 2), bad
+    def precision(rule, part: np.ndarray) -> float:
+        some = holds(rule) & part
+        return (bad[some].sum() + 1) / (bad[some].sum() + good[some].sum() + 2)
 
     out = []
     while len(out) < max_rules:
-        grow, prune = [c for c in cells if not c[0]], [c for c in cells if c[0]]
-        rule, inside = [], grow
-        bad, good = tally(inside)
-        while bad and good and len(rule) < 4:
-            best = (0.0, None, None)
+        rule: list[tuple[int, str, int]] = []
+        inside = left & ~prune
+        b, g = int(bad[inside].sum()), int(good[inside].sum())
+        while b and g and len(rule) < 4:
+            best = (1e-9, None, 0, 0)
             for test in tests:
-                some = [c for c in inside if holds(c, [test])]
-                b, g = tally(some)
-                if b >= min_cover:
-                    gain = b * (math.log2(b / (b + g)) - math.log2(bad / (bad + good)))
+                some = inside & ((place[:, test[0]] > test[2]) == (test[1] == ">"))
+                tb, tg = int(bad[some].sum()), int(good[some].sum())
+                if tb >= min_cover:
+                    gain = tb * (math.log2(tb / (tb + tg)) - math.log2(b / (b + g)))
                     if gain > best[0] + 1e-9:
-                        best = (gain, test, some)
+                        best = (gain, test, tb, tg)
             if best[1] is None:
                 break
-            rule, inside = [*rule, best[1]], best[2]
-            bad, good = tally(inside)
+            rule.append(best[1])
+            inside, b, g = holds(rule) & ~prune, best[2], best[3]
         # drop conditions from the end while the other half doesn't object
-        while len(rule) > 1 and worth(rule[:-1], prune)[0] >= worth(rule, prune)[0]:
+        while len(rule) > 1 and precision(rule[:-1], prune) >= precision(rule, prune):
             rule = rule[:-1]
         if not rule:
             break
-        b, g = tally([c for c in cells if holds(c, rule)])
-        if b < min_cover or b / (b + g) < min_precision or worth(rule, prune)[0] < min_precision - 0.1:
+        some = holds(rule)
+        b, g = int(bad[some].sum()), int(good[some].sum())
+        if b < min_cover or b / (b + g) < min_precision or precision(rule, prune) < min_precision - 0.1:
             break
         out.append([(names[k], op, float(edges[names[k]][at])) for k, op, at in rule])
-        cells = [c for c in cells if not holds(c, rule)]
+        left &= ~some
     return out
 
 
