@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -87,7 +85,3 @@ def prefix_length(a: Column, b: Column) -> Column:
         F.lit(0),
         lambda have, size: F.when((have + size <= n) & (F.substr(a, have + 1, size) == F.substr(b, have + 1, size)), have + size).otherwise(have),
     )
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda x, y: x | y, conditions, F.lit(False))
