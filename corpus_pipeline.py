@@ -29,8 +29,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (shingles of five words) the document with the smallest id."""
-    found = simhash.near_duplicates(docs, shingle=5, radius=4)
+    """Of each group of near-duplicates (similarity of 0.8 or more, shingles of five words) the document with the smallest id."""
+    found = simhash.near_duplicates(docs, shingle=5, radius=4, similarity=0.8)
     kept = found.where(F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True))).select("doc_id").distinct().withColumnRenamed("doc_id", "kept_id")
     out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
     repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()

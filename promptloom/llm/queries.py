@@ -17,7 +17,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4, similarity=None)
     return found.select("doc_id", simhash.hexed("fp").alias("fingerprint"), "component_id")
 
 

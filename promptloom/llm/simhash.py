@@ -1,4 +1,4 @@
-"""SimHash fingerprints and exact near-duplicate links through sharded vantage-point trees.
+"""SimHash fingerprints, exact near-duplicate links through sharded vantage-point trees, and exact links by similarity.
 
 Two fingerprints link if they differ in at most `radius` of 64 bits. A vantage-point tree over all
 64 bits can't prune here: distances between unrelated fingerprints crowd round 32, so that nearly
@@ -8,6 +8,11 @@ to radius - parts + 1. Each part gets a vantage-point tree in its own Hamming di
 has one home leaf a tree, and visits each leaf that its ball of radius r_i overlaps by the triangle
 bound |d(q, v) - d(x, v)| <= d(q, x); so every linked pair meets in a leaf, where all 64 bits decide.
 
+A small radius misses most pairs with a Jaccard similarity of 0.8, and no radius reaches all. By
+similarity, such pairs are candidates too whose sets of shingles share one of their prefixes: sorted by
+one order, two sets of n and m shingles with similarity t share one of the first n - ceil(t n) + 1 and
+m - ceil(t m) + 1. The exact similarity decides on every candidate.
+
 Defined results. Null text: as empty, fingerprint zero. Null doc_id: a fingerprint, but no part in
 links; component_id null. Repeated doc_ids: each row counts. Empty table: no rows. Further columns of
 the input are left out.
@@ -23,10 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import as_bytes, components, written
+from .shared import as_bytes, components, dropped, hash_keep, written
 
 #: Fingerprints that a leaf should hold, sampled ones for each leaf of a tree, homes and rows of one cell at most.
 LEAF, SAMPLES, HOMES, ROWS = 4096, 64, 8192, 1 << 20
+#: Frequent shingles that are told apart, and rows of prefixes for each bucket.
+COMMON, TOKENS = 200_000, 250_000
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -167,13 +174,192 @@ def links(reps: DataFrame, radius: int) -> DataFrame:
     return cells.groupBy("shard", "i", "j").applyInArrow(meet, "u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id) of every document."""
-    fps = written(fingerprints(docs, shingle), "simhash-fps")
-    reps = written(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-reps")
-    found = components(links(reps, radius), "simhash-components")
-    named = reps.join(found, reps["first"] == found["node"], "left").select("fp", F.coalesce("component", "first").alias("component_id"))
-    return fps.join(named, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+def least_overlap(n: int, similarity: float) -> int:
+    """Shingles that a set of n shares at least with any set that is so similar."""
+    return math.ceil(similarity * n - 1e-9)
+
+
+def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles, sorted, and how frequent they are, in an eighth of the documents. They only order shingles: any order gives the same links."""
+
+    def run(batches):
+        for batch in batches:
+            hashes = [np.unique(shingle_hashes(x or b"", shingle)) for x in as_bytes(batch.column(0))]
+            found, n = np.unique(np.concatenate(hashes), return_counts=True) if hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["token", "n"])
+
+    some = docs.where(hash_keep(F.col("doc_id").cast("long"), 1 / 8, 31)).select(F.col("text").cast("string").alias("text"))
+    rows = some.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n >= 4").orderBy(F.desc("n"), "token").limit(COMMON).toArrow()
+    tokens, n = rows.column("token").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+    order = np.argsort(tokens)
+    return tokens[order], n[order]
+
+
+def shingle_sets(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(doc_id, fp, key, n, prefix, parity): the key stands for the set of n distinct shingles; two sets so similar share one of their prefixes, the rarest shingles of each."""
+    tokens, counts = common_shingles(docs, shingle)
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for x in as_bytes(batch.column(1)):
+                hashes = shingle_hashes(x or b"", shingle)
+                found = np.unique(hashes)
+                at = np.minimum(np.searchsorted(tokens, found), max(0, len(tokens) - 1))
+                often = np.where(tokens[at] == found, counts[at], 0) if len(tokens) else np.zeros(len(found), np.int64)
+                first = found[np.argsort(often, kind="stable")][: len(found) - least_overlap(len(found), similarity) + 1]
+                rows.append((majority(hashes), set_key(found), len(found), first.tobytes(), parities(found)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())))], ["doc_id", "fp", "key", "n", "prefix", "parity"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long, key long, n int, prefix binary, parity binary")
+
+
+def parities(found: np.ndarray) -> bytes:
+    """Whether an odd number of the shingles falls on each of 1024 bits; those of two sets differ in no more bits than the sets in shingles."""
+    return np.packbits(np.bincount((found >> np.uint64(20) & np.uint64(1023)).astype(np.int64), minlength=1024) & 1).tobytes()
+
+
+def set_key(found: np.ndarray) -> int:
+    """64 hashed bits of a sorted set of shingles, signed."""
+    return int(np.array([xxhash.xxh64_intdigest(found.tobytes(), 43)], np.uint64).view(np.int64)[0])
+
+
+def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of each run of equal values."""
+    cut = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1], [True]])) if len(values) else np.zeros(1, np.int64)
+    return cut[:-1], cut[1:]
+
+
+def shared_prefixes(sets: DataFrame) -> DataFrame:
+    """(token, key, n, at) of the shingles that the prefixes of two sets share; at: the place in its set."""
+
+    def deal(batches):
+        for batch in batches:
+            sizes, keys = batch.column(1).to_numpy(), batch.column(0).to_numpy()
+            prefixes = [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
+            for at in range(0, len(keys), 1000):
+                part = prefixes[at : at + 1000]
+                lengths = np.array([len(x) for x in part])
+                token = np.concatenate(part)
+                place = np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.repeat(keys[at : at + 1000], lengths)), pa.array(np.repeat(sizes[at : at + 1000], lengths)), pa.array(place.astype(np.int32))], ["token", "key", "n", "at"])
+
+    def met(table: pa.Table) -> pa.Table:
+        token = table.column("token").to_numpy()
+        order = np.argsort(token, kind="stable")
+        begin, end = runs(token[order])
+        return table.select(["token", "key", "n", "at"]).take(pa.array(np.sort(order[np.repeat(end - begin > 1, end - begin)])))
+
+    total = sets.agg(F.sum(F.length("prefix") / 8)).first()[0] or 0
+    tokens = sets.select("key", "n", "prefix").mapInArrow(deal, "token long, key long, n int, at int")
+    return tokens.withColumn("bucket", F.pmod("token", F.lit(max(1, math.ceil(total / TOKENS))))).groupBy("bucket").applyInArrow(met, "token long, key long, n int, at int")
+
+
+def pairs_apart(shared: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all pairs of sets with different labels that share a shingle of their prefixes and may be so similar.
+
+    At the first shingle that two sets share nothing before it counts, so they share no more than what either has from there on.
+    """
+
+    def pairs(table: pa.Table) -> pa.Table:
+        token, key, n, at, label = (table.column(x).to_numpy() for x in ("token", "key", "n", "at", "label"))
+        order = np.lexsort((label, token))
+        key, n, rest, label = key[order], n[order].astype(np.int64), (n - at)[order].astype(np.int64), label[order]
+        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a, b in zip(*runs(token[order])):
+            begin, end = runs(label[a:b])
+            for x, y in zip((a + begin).tolist(), (a + end).tolist()):
+                for k in range(x, y if y < b else x):  # with all of later labels
+                    o = np.minimum(rest[k], rest[y:b])
+                    near = np.flatnonzero(o >= similarity * (n[k] + n[y:b] - o) - 1e-6)
+                    us.append(np.full(len(near), key[k]))
+                    vs.append(key[y:b][near])
+        u, v = np.concatenate(us), np.concatenate(vs)
+        both = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
+        return pa.table({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
+
+    named = shared.join(labels, shared["key"] == labels["node"], "left").select("token", "key", "n", "at", F.coalesce("component", "key").alias("label"))
+    n = max(1, math.ceil(shared.count() / TOKENS))
+    return named.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(n * 8))).groupBy("bucket").applyInArrow(pairs, "a long, b long").distinct()
+
+
+def plausible(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose parities do not rule the similarity out."""
+
+    def run(batches):
+        for batch in batches:
+            n, m = batch.column(2).to_numpy().astype(np.int64), batch.column(3).to_numpy().astype(np.int64)
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, 16) for k in (4, 5))
+            most = (n + m - np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)) / 2
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(most >= similarity * (n + m - most) - 1e-6))
+
+    x, y = (reps.select(F.col("key").alias(k), F.col("n").alias("n_" + k), F.col("parity").alias("of_" + k)) for k in "ab")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "of_a", "of_b").mapInArrow(run, "a long, b long")
+
+
+def similar(pairs: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of keys whose sets have a Jaccard similarity of `similarity` or more."""
+
+    def run(batches):
+        for batch in batches:
+            found = [np.unique(shingle_hashes(x or b"", shingle)) for x in as_bytes(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["key", "tokens"])
+
+    def decide(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    asked = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    ids = reps.join(asked, "key", "left_semi").select(F.col("first").alias("wanted")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    sets = written(texts.join(ids, texts["id"] == ids["wanted"], "left_semi").select("text").mapInArrow(run, "key long, tokens binary").dropDuplicates(["key"]), "simhash-sets")
+    x, y = (sets.select(F.col("key").alias(k), F.col("tokens").alias("of_" + k)) for k in "ab")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "of_a", "of_b").mapInArrow(decide, "a long, b long")
+
+
+def similar_components(fps: DataFrame, docs: DataFrame, shingle: int, radius: int, similarity: float) -> DataFrame:
+    """(key, component_id) of the sets of shingles: the components of all pairs that are so similar.
+
+    Pairs within the radius are asked first; they join most of a large group, so that the pairs that share
+    a shingle of their prefixes, which is every similar one, need asking only where still apart.
+    """
+    reps = written(fps.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("parity").alias("parity")), "simhash-keys")
+    one = written(reps.groupBy("fp").agg(F.min("key").alias("first")), "simhash-reps")
+    same = reps.join(one.withColumnRenamed("first", "a"), "fp").select("a", F.col("key").alias("b")).where("a <> b")
+    near = written(links(one, radius).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).unionByName(same).distinct(), "simhash-near")
+    first = written(similar(near, docs, reps, shingle, similarity), "simhash-similar")
+    labels = components(first.select(F.col("a").alias("u"), F.col("b").alias("v")), "simhash-labels")
+    firsts = reps.select(F.col("key").alias("of"), F.col("first").alias("id"))
+    sets = fps.join(firsts, (fps["key"] == firsts["of"]) & (fps["doc_id"] == firsts["id"]), "left_semi")
+    shared = written(shared_prefixes(sets), "simhash-shared")
+    apart = written(plausible(pairs_apart(shared, labels, similarity), reps, similarity), "simhash-pairs")
+    dropped(docs.sparkSession, shared.shared_path)
+    pairs = first.unionByName(similar(apart, docs, reps, shingle, similarity))
+    ends = lambda k: reps.select(F.col("key").alias(k), F.col("first").alias("first_" + k))
+    found = components(pairs.join(ends("a"), "a").join(ends("b"), "b").select(F.col("first_a").alias("u"), F.col("first_b").alias("v")), "simhash-components")
+    return reps.join(found, reps["first"] == found["node"], "left").select("key", F.coalesce("component", "first").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 4, similarity: float | None = 0.8) -> DataFrame:
+    """(doc_id, fp, component_id) of every document.
+
+    Documents link if the Jaccard similarity of their sets of shingles is `similarity` or more, exactly; with
+    None, if their fingerprints differ in `radius` bits at most.
+    """
+    if similarity is not None:
+        fps = written(shingle_sets(docs, shingle, similarity), "simhash-fps")
+        named, by = similar_components(fps, docs, shingle, radius, similarity), "key"
+    else:
+        fps = written(fingerprints(docs, shingle), "simhash-fps")
+        reps = written(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-reps")
+        found = components(links(reps, radius), "simhash-components")
+        named, by = reps.join(found, reps["first"] == found["node"], "left").select("fp", F.coalesce("component", "first").alias("component_id")), "fp"
+    return fps.join(named, by, "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def hexed(fp):

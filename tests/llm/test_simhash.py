@@ -81,3 +81,46 @@ def test_odd_rows(odd, none):
     assert by[3][0].component_id == by[5][0].component_id == by[2][0].component_id == 2
     assert by[None][0].component_id is None and by[None][0].fp != 0
     assert simhash.near_duplicates(none).count() == 0
+
+
+def brute_similar(texts, n, least):
+    def shingles(text):
+        words = "".join(c.lower() if "A" <= c <= "Z" else c for c in (text or "")).encode().split()
+        return frozenset([b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)] or ([b" ".join(words)] if words else []))
+
+    sets = {i: shingles(t) for i, t in texts.items()}
+    label = {i: i for i in texts}
+    pairs = [(a, b) for a, x in sets.items() for b, y in sets.items() if a < b and (x == y or len(x & y) >= least * len(x | y))]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            low = min(label[a], label[b])
+            if (label[a], label[b]) != (low, low):
+                label[a] = label[b] = low
+                changed = True
+    return label
+
+
+@pytest.mark.parametrize("limits", [(200_000, 250_000), (3, 50)])
+def test_similarity_against_brute_force(spark, small, texts, monkeypatch, limits):
+    monkeypatch.setattr(simhash, "COMMON", limits[0])
+    monkeypatch.setattr(simhash, "TOKENS", limits[1])
+    rng = np.random.default_rng(4)
+    vocabulary = [f"w{k}" for k in range(400)]
+    common = list(rng.choice(vocabulary, 12))
+    made = {}
+    for _ in range(25):
+        base = list(rng.choice(vocabulary, rng.integers(3, 160))) + common
+        for _ in range(6):
+            words = list(base)
+            for at in rng.integers(0, len(words), rng.integers(0, 4)):
+                words[at] = str(rng.choice(vocabulary))
+            made[10_000_000 + len(made)] = " ".join(words)
+    rows = {**texts, **made}
+    frame = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame).collect()}
+    want = brute_similar(rows, 5, 0.8)
+    assert got == want and len(set(want.values())) < len(want)
+    apart = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame, similarity=None).collect()}
+    assert sum(want[i] != apart[i] for i in made) > 20
