@@ -5,7 +5,7 @@ The vocabulary file gives the pieces; nothing is trained. A piece's probability
 with probability proportional to the product over its pieces.
 
 No piece reaches over the edge between a character and a following space, so a text's lattice falls apart into
-chunks (spaces, then other characters). Distinct chunks of a batch are matched and filtered once,
+chunks (spaces, then other characters). Distinct chunks of a batch, told apart by their bytes, are matched and filtered once,
 all of them side by side: position by position, the log-sum over incoming pieces. Then every
 occurrence walks back from its end, all side by side again: each step draws an incoming piece by the
 numbers of a generator that is a function of (seed, row key, chunk, step) alone. So a row's pieces do not
@@ -15,7 +15,7 @@ As in the vocabulary's own encoder, a space goes in front of a text, spaces stan
 characters without a piece fall back to bytes. A literal U+2581 goes to bytes too, so decoding gives back every text exactly.
 
 Defined results. Null text: null ids, 0 pieces. Empty text: no pieces. Null key: the generator's key 0. Repeated
-rows: the same pieces each. Empty table: no rows. Columns other than doc_id and text are left out.
+rows: the same pieces each. Very long texts: whole, alone in their block. Empty table: no rows. Columns other than doc_id and text are left out.
 """
 
 from __future__ import annotations
@@ -240,6 +240,26 @@ def chunk_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.
     return mixed((sums[starts + sizes] - sums[starts]) * back[starts] + sizes.astype(np.uint64))
 
 
+def classes(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pick, which): one chunk of each distinct string, and the number of each chunk's string; the chunks tile the text.
+
+    Hashes propose the classes, the bytes decide: chunks that differ from the one that stands for their hash get classes by their bytes.
+    """
+    _, pick, which = np.unique(chunk_hashes(text, starts, lengths), return_index=True, return_inverse=True)
+    same = lengths == lengths[pick[which]]
+    there = np.repeat(starts[pick[which]] - starts, lengths) + np.arange(len(text))
+    same &= ~np.logical_or.reduceat(text != text[np.minimum(there, len(text) - 1)], starts)
+    more: dict[bytes, int] = {}
+    added = []
+    for i in np.flatnonzero(~same).tolist():
+        string = text[starts[i] : starts[i] + lengths[i]].tobytes()
+        if string not in more:
+            more[string] = len(pick) + len(added)
+            added.append(i)
+        which[i] = more[string]
+    return np.concatenate([pick, np.array(added, np.int64)]), which
+
+
 def encode(voc: Vocabulary, data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all rows, one row after the other, and the number of each row."""
     n, sizes = len(offsets) - 1, np.diff(offsets)
@@ -255,7 +275,7 @@ def encode(voc: Vocabulary, data: np.ndarray, offsets: np.ndarray, keys: np.ndar
     begin[row_start] = True
     starts = np.flatnonzero(begin)
     lengths = np.diff(np.append(starts, len(text)))
-    _, pick, which = np.unique(chunk_hashes(text, starts, lengths), return_index=True, return_inverse=True)
+    pick, which = classes(text, starts, lengths)
     lattice = Lattice(voc, text, starts[pick], lengths[pick])
     row = np.searchsorted(row_start, starts, "right") - 1
     nth = np.arange(len(starts)) - np.searchsorted(starts, row_start)[row]

@@ -35,6 +35,25 @@ def test_lossless_and_reproducible(voc):
     assert run(voc, TEXTS, keys, seed=1)[0] != ids
 
 
+def thue_morse(n):
+    out = "a"
+    while len(out) < n:
+        out += out.translate({97: "b", 98: "a"})
+    return out[:n]
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 8192])
+def test_chunks_whose_hashes_collide(voc, n):
+    """Thue-Morse strings and their complements have equal polynomial hashes modulo 2^64; bytes decide."""
+    texts = [thue_morse(n), thue_morse(n).translate({97: "b", 98: "a"}), "ab", thue_morse(n), thue_morse(n).translate({97: "b", 98: "a"}) + " ab"]
+    chunks = np.frombuffer((" " + " ".join(texts[:2])).encode(), np.uint8)
+    assert len(set(pieces.chunk_hashes(chunks, np.array([0, n + 1]), np.array([n + 1, n + 1])).tolist())) == 1
+    ids, back = run(voc, texts, range(5))
+    assert back == texts
+    for k, t in enumerate(texts):
+        assert run(voc, [t], [k])[0][0] == ids[k]
+
+
 def test_sampled_frequencies(voc):
     spell = lambda i: bytes(voc.data[voc.starts[i] : voc.starts[i] + voc.sizes[i]])
     lookup = {spell(i): i for i in range(len(voc.sizes)) if voc.sizes[i] and i not in set(voc.byte_id.tolist())}
