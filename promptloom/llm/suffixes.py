@@ -5,23 +5,22 @@ earlier start). Sorting a suffix for every byte would move the corpus a hundred
 
 1. Anchors. Of each window of `length` bytes the place of the least hashed gram of GRAM bytes is its anchor.
    Equal windows have equal anchors, so only windows whose anchor gram occurs twice can repeat; an
-   anchor serves some 40 windows. Each batch keeps, of anchors with equal gram and equal surroundings
-   (all bytes of all their windows), the earliest; the others repeat. What is left meets by range of the hashed gram.
-   There, equal surroundings again leave the earliest, and grams seen once drop out. A gram with
-   many surroundings in a batch is spread by its surroundings instead, and marked in its own range.
+   anchor serves some 30 windows. Within a batch, of anchors whose surroundings (all bytes of all their windows) are equal,
+   byte by byte, the earliest stays; the others repeat. What stays meets by range of the hashed gram, where grams seen
+   once drop out. That is all that hashes decide; a collision only leaves more to sort.
+   Grams that are common in a sample of the texts, or in the batch, need no meeting: they are left over at once.
 2. Suffixes. The bytes round the anchors left over are cut from the texts: their windows are the suffixes that may
-   repeat in part. Sampled splitters range-partition them by leading bytes, here those of the anchor's gram, which equal
+   repeat. Sampled splitters range-partition them by leading bytes, here those of the anchor's gram, which equal
    suffixes share; each bucket sorts its suffixes by multikey quicksort, eight bytes a key, and all but the
    earliest of equal ones repeat. Where a gram leads too many, its suffixes are range-partitioned one by one by (bytes, id,
    place), so even one string in a third of all rows is spread; then the first string of a bucket is
    compared with the last one of the bucket before.
-3. Repeats of both kinds come back to their texts by id and are cut out as maximal runs.
-
-Surroundings and grams are compared by 64 hashed bits each, suffixes byte by byte.
+3. Repeats come back to their texts by id and are cut out as maximal runs.
 
 Defined results. Null text: as empty. Texts under `length` bytes: nothing goes. Null ids come before all others.
 Rows with one id count in the order of a hash of their texts; rows equal in id and text are one document and
-get the same result each. Empty table: no rows. Columns other than doc_id and text are left out.
+get the same result each. Very long texts: whole, alone in their batch. Empty table: no rows. Columns other than
+doc_id and text are left out. A length under GRAM or over LONGEST: ValueError.
 """
 
 from __future__ import annotations
@@ -32,20 +31,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ordered import NO_ID
-from .shared import byte_rows, mixed, row_blocks, written
+from .shared import byte_rows, dropped, hash_keep, mixed, row_blocks, written
 
-GRAM = 40
-#: Bytes of text that a task compares within itself, and for each range of grams; surroundings of one gram in a batch from which it is spread; anchors of one
-#: gram beyond which its suffixes are dealt one by one; anchors sorted at once; suffixes for each bucket.
+GRAM, LONGEST = 40, 30_000
+#: Bytes of text that a task compares within itself, and for each range of grams; surroundings of one gram in a batch from which it counts as common;
+#: anchors of one gram beyond which its suffixes are dealt one by one; anchors sorted at once; suffixes for each bucket.
 BATCH, RANGE, HOT, LED, BLOCK, BUCKET = 8 << 20, 8 << 20, 256, 5_000, 2_000, 400_000
+#: Bytes of text sampled for common grams; a gram counts as common with so many anchors in the sample that a meeting place would hold over COMMON in all.
+SAMPLE, COMMON, SEEN = 64 << 20, 20_000, 20
+#: Suffixes in a group that quicksort leaves to a plain sort.
+SMALL = 48
 
-ANCHOR = np.dtype([("key", "<u8"), ("ctx", "<u8"), ("k", "<i8"), ("th", "<i8"), ("pos", "<u4"), ("off", "u1"), ("cnt", "u1")])
-SPANS, LEFT = 0, 1
+ANCHOR = np.dtype([("key", "<u8"), ("k", "<i8"), ("th", "<i8"), ("pos", "<u4"), ("off", "<u2"), ("cnt", "<u2")])
+SPANS, NEAR, FAR = 0, 1, 2
 
 
 def running(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,26 +106,31 @@ def unpacked(blob: bytes, kind: np.dtype) -> np.ndarray:
     return planes.reshape(kind.itemsize, -1).T.copy().reshape(-1).view(kind) if len(planes) else np.zeros(0, kind)
 
 
-def in_order(rows: np.ndarray) -> np.ndarray:
-    """Sorted by gram and surroundings, and where these are equal by document and place."""
-    if len(rows) < 2:
-        return rows
-    rows = rows[np.lexsort((rows["ctx"], rows["key"]))]
-    same = (rows["key"][1:] == rows["key"][:-1]) & (rows["ctx"][1:] == rows["ctx"][:-1])
-    tied = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-    some = rows[tied]
-    if len(some):
-        rows[tied] = some[np.lexsort((some["pos"], some["th"], some["k"], some["ctx"], some["key"]))]
-    return rows
+def equal_to(data: np.ndarray, start: np.ndarray, size: np.ndarray, other: np.ndarray, block: int = 1 << 14) -> np.ndarray:
+    """Whether the `size` bytes (one at least) from each start are those from the other start."""
+    out = np.zeros(len(start), bool)
+    for a in range(0, len(start), block):
+        n = size[a : a + block]
+        begin = np.cumsum(n) - n
+        at = np.arange(int(n.sum()))
+        x, y = (at + np.repeat(v[a : a + block] - begin, n) for v in (start, other))
+        out[a : a + block] = ~np.logical_or.reduceat(data[x] != data[y], begin)
+    return out
 
 
-def first_of_class(rows: np.ndarray) -> np.ndarray:
-    """Of sorted rows, which are no repeats: the earliest of a class, and rows equal to it in all."""
-    if not len(rows):
-        return np.zeros(0, bool)
-    new = np.concatenate([[True], (rows["key"][1:] != rows["key"][:-1]) | (rows["ctx"][1:] != rows["ctx"][:-1])])
-    head = rows[np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))]
-    return (rows["k"] == head["k"]) & (rows["th"] == head["th"]) & (rows["pos"] == head["pos"])
+def repeated_here(rows: np.ndarray, ctx: np.ndarray, data: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(repeats, again): rows whose surroundings another row of the batch has, earlier, byte by byte; and rows of one document that is there twice."""
+    order = np.lexsort((rows["pos"], rows["th"], rows["k"], ctx))
+    new = np.concatenate([[True], ctx[order[1:]] != ctx[order[:-1]]]) if len(order) else np.zeros(0, bool)
+    head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else order
+    some = head != order
+    member, head = order[some], head[some]
+    same = (rows["off"][member] == rows["off"][head]) & (rows["cnt"][member] == rows["cnt"][head])
+    member, head = member[same], head[same]
+    same = equal_to(data, start[member], rows["cnt"][member].astype(np.int64) - 1 + length, start[head])
+    member, head = member[same], head[same]
+    twin = (rows["k"][member] == rows["k"][head]) & (rows["th"][member] == rows["th"][head]) & (rows["pos"][member] == rows["pos"][head])
+    return member[~twin], member[twin]
 
 
 def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,7 +156,7 @@ def by_document(rows: np.ndarray, kind: int, length: int) -> Iterator[tuple]:
             s, e = merged(pos - part["off"], pos - part["off"] + part["cnt"] - 1 + length)
             data = np.stack([s, e]).astype("<u4").tobytes()
         else:
-            data = np.stack([pos, part["off"], part["cnt"]]).astype("<u4").tobytes()
+            data = np.stack([pos, part["off"], part["cnt"], np.full(len(pos), kind)]).astype("<u4").tobytes()
         yield kind, int(part["k"][0]), int(part["th"][0]), data
 
 
@@ -160,8 +167,39 @@ def keyed(docs: DataFrame) -> DataFrame:
     return rows.select("k", (F.xxhash64("text") if repeated else F.lit(0).cast("long")).alias("th"), "text")
 
 
-def met(rows: DataFrame, n_ranges: int, length: int) -> DataFrame:
-    """(kind, k, th, data): repeats that anchors alone show, and anchors left for the suffix sort."""
+def placed(ks: np.ndarray, ths: np.ndarray, data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The anchors of rows, the hashes of their surroundings, and where these start in the data."""
+    parts, ctxs, starts = [], [], []
+    for a, b in row_blocks(offsets, 1 << 20):
+        row, place, off, cnt, key, ctx = anchors(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length)
+        part = np.zeros(len(row), ANCHOR)
+        part["key"], part["k"], part["th"] = key, ks[a:b][row], ths[a:b][row]
+        part["pos"], part["off"], part["cnt"] = place - (offsets[a:b][row] - offsets[a]), off, cnt
+        parts.append(part)
+        ctxs.append(ctx)
+        starts.append(place - off + offsets[a])
+    cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
+    return cat(parts, ANCHOR), cat(ctxs, np.uint64), cat(starts, np.int64)
+
+
+def common_grams(rows: DataFrame, size: int, length: int) -> np.ndarray:
+    """Sorted hashes of grams that a sample of the texts holds so often that they should not meet in one place. The sample decides nothing but that."""
+    share = min(1.0, SAMPLE / max(size, 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = byte_rows(batch.column(0))
+            for a, b in row_blocks(offsets, 1 << 20):
+                found, n = np.unique(anchors(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length)[4], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["key", "n"])
+
+    least = max(SEEN, int(COMMON * share))
+    found = rows.where(hash_keep(F.col("k"), share, 29)).select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return np.sort(found.select("key").toArrow().column(0).to_numpy().view(np.uint64))
+
+
+def met(rows: DataFrame, n_ranges: int, common: np.ndarray, length: int) -> DataFrame:
+    """(kind, k, th, data): repeats within a batch, and anchors left for the suffix sort."""
     fields = ["bucket", "kind", "k", "th", "data"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     as_batch = lambda out: pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], fields)
@@ -173,31 +211,30 @@ def met(rows: DataFrame, n_ranges: int, length: int) -> DataFrame:
                 yield from anchored(batch.column(0).slice(a, b - a).to_numpy(), batch.column(1).slice(a, b - a).to_numpy(), data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
 
     def anchored(ks: np.ndarray, ths: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> Iterator[pa.RecordBatch]:
-        parts = []
-        for a, b in row_blocks(offsets, 1 << 20):
-            row, place, off, cnt, key, ctx = anchors(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length)
-            part = np.zeros(len(row), ANCHOR)
-            part["key"], part["ctx"], part["k"], part["th"] = key, ctx, ks[a:b][row], ths[a:b][row]
-            part["pos"], part["off"], part["cnt"] = place - (offsets[a:b][row] - offsets[a]), off, cnt
-            parts.append(part)
-        every = in_order(np.concatenate(parts)) if parts else np.zeros(0, ANCHOR)
-        del parts
-        keep = first_of_class(every)
-        yield as_batch([(n_ranges + k % n_ranges, kind, k, th, x) for kind, k, th, x in by_document(every[~keep], SPANS, length)])
-        every = every[keep]
-        if not len(every):
+        every, ctx, start = placed(ks, ths, data, offsets, length)
+        again, twins = repeated_here(every, ctx, data, start, length)
+        keep = np.ones(len(every), bool)
+        keep[again] = keep[twins] = False
+        rest = every[keep]
+        rest = rest[np.argsort(rest["key"], kind="stable")]
+        if len(rest):
+            new = np.concatenate([[True], rest["key"][1:] != rest["key"][:-1]])
+            many = (np.diff(np.append(np.flatnonzero(new), len(rest))) > HOT)[np.cumsum(new) - 1]
+            mark = rest[new & many]  # says that the gram has other surroundings elsewhere
+            mark["cnt"] = 0
+            hot = many | np.isin(rest["key"], common)
+        else:
+            mark = hot = np.zeros(0, ANCHOR)
+            hot = np.zeros(0, bool)
+        done = [*by_document(every[again], SPANS, length), *by_document(rest[hot], FAR, length)]
+        yield as_batch([(n_ranges + k % n_ranges, kind, k, th, x) for kind, k, th, x in done])
+        rest = np.concatenate([rest[~hot], mark])
+        if not len(rest):
             return
-        new = np.concatenate([[True], every["key"][1:] != every["key"][:-1]])
-        many = np.diff(np.append(np.flatnonzero(new), len(every))) > HOT
-        hot = many[np.cumsum(new) - 1]
-        mark = every[new & hot]
-        mark["cnt"] = 0  # says that the gram has other surroundings elsewhere
-        home = lambda key: ((key >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32)).astype(np.int64)
-        bucket = np.where(hot, 2 * n_ranges + (every["ctx"] % np.uint64(n_ranges)).astype(np.int64), home(every["key"]))
-        for rows, of in ((every, bucket), (mark, home(mark["key"]))):
-            order = np.argsort(of, kind="stable")
-            cuts = np.searchsorted(of[order], np.unique(of))
-            yield as_batch([(int(of[order[x]]), -1, 0, 0, packed(rows[order[x:y]])) for x, y in zip(cuts, np.append(cuts[1:], len(order)))])
+        home = ((rest["key"] >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(home, kind="stable")
+        cuts = np.searchsorted(home[order], np.unique(home))
+        yield as_batch([(int(home[order[x]]), -1, 0, 0, packed(rest[order[x:y]])) for x, y in zip(cuts, np.append(cuts[1:], len(order)))])
 
     def meet(table: pa.Table) -> pa.Table:
         kinds = table.column("kind").to_pylist()
@@ -205,20 +242,15 @@ def met(rows: DataFrame, n_ranges: int, length: int) -> DataFrame:
         blobs = [x for x, k in zip(table.column("data").to_pylist(), kinds) if k < 0]
         if not blobs:
             return passed
-        hot = table.column("bucket")[0].as_py() >= 2 * n_ranges
         every = np.concatenate([unpacked(x, ANCHOR) for x in blobs])
-        marks = np.unique(every["key"][every["cnt"] == 0])
-        every = in_order(every[every["cnt"] > 0])
-        keep = first_of_class(every)
-        out = list(by_document(every[~keep], SPANS, length))
-        left = every[keep]
-        if not hot and len(left):
-            key = left["key"]
-            new = np.concatenate([[True], key[1:] != key[:-1]])
-            other = np.concatenate([[True], (key[1:] != key[:-1]) | (left["ctx"][1:] != left["ctx"][:-1])])
-            classes = np.add.reduceat(other.astype(np.int64), np.flatnonzero(new))
-            left = left[(classes > 1)[np.cumsum(new) - 1] | np.isin(key, marks)]
-        out += by_document(left, LEFT, length)
+        every = every[np.argsort(every["key"], kind="stable")]
+        new = np.concatenate([[True], every["key"][1:] != every["key"][:-1]])
+        number = np.diff(np.append(np.flatnonzero(new), len(every)))
+        marked = np.logical_or.reduceat(every["cnt"] == 0, np.flatnonzero(new))
+        of = np.cumsum(new) - 1
+        number, marked, real = number[of], marked[of], every["cnt"] > 0
+        far = marked | (number > LED)
+        out = [*by_document(every[real & far], FAR, length), *by_document(every[real & ~far & (number > 1)], NEAR, length)]
         made = pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate(zip(fields[1:], types[1:]))})
         return pa.concat_tables([passed, made])
 
@@ -229,26 +261,56 @@ def met(rows: DataFrame, n_ranges: int, length: int) -> DataFrame:
 def multikey(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, head): row numbers sorted by all words of a row, equal rows in their order, and where new rows begin.
 
-    Quicksort by one word at a time; behind the first word only ties are sorted further.
+    Multikey quicksort, all groups of a round side by side: each splits round the median of three of its
+    words at its own depth into less, equal and greater; equal ones go one word deeper. Groups of SMALL rows or
+    fewer are sorted plainly in the end, word by word.
     """
-    n = len(words)
-    order = np.argsort(words[:, 0], kind="stable") if n else np.zeros(0, np.int64)
-    head = np.ones(n, bool)
-    head[1:] = words[order[1:], 0] != words[order[:-1], 0]
-    for k in range(1, words.shape[1]):
-        tied = ~head
-        tied[:-1] |= ~head[1:]
-        at = np.flatnonzero(tied)
+    n, wide = words.shape
+    order, head = np.arange(n), np.ones(n, bool)
+    if n < 2:
+        return order, head
+    start, size, depth = np.array([0]), np.array([n]), np.array([0])
+    small: list[tuple[np.ndarray, np.ndarray]] = []
+    while len(start):
+        big = size > SMALL
+        small.append((start[~big], size[~big]))
+        start, size, depth = start[big], size[big], depth[big]
+        if not len(start):
+            break
+        group = np.repeat(np.arange(len(start)), size)
+        at = np.arange(len(group)) + np.repeat(start - (np.cumsum(size) - size), size)
+        rows = order[at]
+        word = words[rows, depth[group]]
+        three = np.stack([words[order[start + x], depth] for x in (0 * size, size // 2, size - 1)])
+        pivot = np.sort(three, axis=0)[1][group]
+        part = (3 * group + (word >= pivot) + (word > pivot)).astype(np.uint16 if 3 * len(start) < 1 << 16 else np.int64)
+        order[at] = rows[np.argsort(part, kind="stable")]
+        number = np.bincount(part, minlength=3 * len(start)).reshape(-1, 3)
+        begin = start[:, None] + np.cumsum(number, axis=1) - number
+        deeper = depth[:, None] + np.array([0, 1, 0])
+        some = (number > 1) & (deeper < wide)  # at the last word equal rows are done
+        start, size, depth = begin[some], number[some], deeper[some]
+    start, size = (np.concatenate([x[i] for x in small]) for i in (0, 1))
+    group = np.repeat(np.arange(len(start)), size)
+    at = np.arange(len(group)) + np.repeat(start - (np.cumsum(size) - size), size)
+    by = np.argsort(at)
+    at, group = at[by], np.cumsum(np.concatenate([[1], np.diff(group[by]) != 0])) if len(at) else at
+    for k in range(wide):
         if not len(at):
             break
-        group = np.cumsum(head)[at]
         rows = order[at]
         again = np.lexsort((rows, words[rows, k], group))
         rows = rows[again]
         order[at] = rows
         new = np.ones(len(at), bool)
         new[1:] = (group[1:] != group[:-1]) | (words[rows[1:], k] != words[rows[:-1], k])
-        head[at] |= new
+        tied = ~new
+        tied[:-1] |= ~new[1:]
+        at, group = at[tied], np.cumsum(new)[tied]
+    head[1:] = False
+    for k in range(wide):
+        word = words[order, k]
+        head[1:] |= word[1:] != word[:-1]
     return order, head
 
 
@@ -278,19 +340,19 @@ def span_rows(k: np.ndarray, th: np.ndarray, p: np.ndarray, length: int) -> pa.R
 
 
 def cut_out(rows: DataFrame, left: DataFrame, length: int) -> DataFrame:
-    """(lead, k, th, p, seg): for each anchor left over its gram, and from the first of its windows to the end of the last."""
-    fields = ["lead", "k", "th", "p", "seg"]
+    """(far, lead, k, th, p, seg): for each anchor left over its gram, and from the first of its windows to the end of the last."""
+    fields = ["far", "lead", "k", "th", "p", "seg"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        types = [pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         as_batch = lambda out: pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], fields)
         for batch in batches:
             out = []
             for i in range(batch.num_rows):
                 k, th, text, blobs = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_buffer().to_pybytes(), batch.column(3)[i].as_py()
-                at = np.concatenate([np.frombuffer(x, "<u4").reshape(3, -1) for x in blobs], axis=1).astype(np.int64)
-                for pos, off, cnt in at[:, np.argsort(at[0], kind="stable")].T.tolist():
-                    out.append((text[pos : pos + GRAM], k, th, pos - off, text[pos - off : pos - off + cnt - 1 + length]))
+                at = np.concatenate([np.frombuffer(x, "<u4").reshape(4, -1) for x in blobs], axis=1).astype(np.int64)
+                for pos, off, cnt, kind in at[:, np.argsort(at[0], kind="stable")].T.tolist():
+                    out.append((kind == FAR, text[pos : pos + GRAM], k, th, pos - off, text[pos - off : pos - off + cnt - 1 + length]))
                 if len(out) >= 5_000:
                     yield as_batch(out)
                     out = []
@@ -298,7 +360,7 @@ def cut_out(rows: DataFrame, left: DataFrame, length: int) -> DataFrame:
                 yield as_batch(out)
 
     asked = left.groupBy("k", "th").agg(F.collect_list("data").alias("blobs"))
-    return rows.join(asked, ["k", "th"]).select("k", "th", "text", "blobs").mapInArrow(run, "lead binary, k long, th long, p long, seg binary")
+    return rows.join(asked, ["k", "th"]).select("k", "th", "text", "blobs").mapInArrow(run, "far boolean, lead binary, k long, th long, p long, seg binary")
 
 
 def windows(segs: list[bytes], k: np.ndarray, th: np.ndarray, p: np.ndarray, length: int):
@@ -316,10 +378,18 @@ def repeated_near(segs: DataFrame, n: int, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def done(table: pa.Table) -> pa.RecordBatch:
-            data, starts, k, th, p = windows(table.column("seg").to_pylist(), *(table.column(x).to_numpy() for x in ("k", "th", "p")), length)
+        def done(table: pa.Table) -> list[pa.RecordBatch]:
+            segs, of = table.column("seg").to_pylist(), [table.column(x).to_numpy() for x in ("k", "th", "p")]
+            # equal bytes round an anchor: the windows of the first stand for all
+            first: dict[bytes, int] = {}
+            head = np.array([first.setdefault(x, i) for i, x in enumerate(segs)])
+            own = np.flatnonzero(head == np.arange(len(segs)))
+            data, starts, k, th, p = windows([segs[i] for i in own], *(x[own] for x in of), length)
             again = later_equal(*multikey(as_words(data, starts, length)), k, th, p)
-            return span_rows(k[again], th[again], p[again], length)
+            spans = [span_rows(k[again], th[again], p[again], length)]
+            rest = np.flatnonzero(np.logical_or.reduce([x != x[head] for x in of]))
+            k, th, p = windows([segs[i] for i in rest], *(x[rest] for x in of), length)[2:]
+            return pa.Table.from_batches([*spans, span_rows(k, th, p, length)]).combine_chunks().to_batches()
 
         for batch in batches:
             for a in range(0, batch.num_rows, BLOCK):
@@ -330,10 +400,10 @@ def repeated_near(segs: DataFrame, n: int, length: int) -> DataFrame:
                 while cut > 0 and leads[cut - 1] == leads[-1]:
                     cut -= 1
                 if cut:
-                    yield done(table.slice(0, cut))
+                    yield from done(table.slice(0, cut))
                 held = table.slice(cut).to_batches()
         if held:
-            yield done(pa.Table.from_batches(held))
+            yield from done(pa.Table.from_batches(held))
 
     return segs.repartitionByRange(n, "lead").sortWithinPartitions("lead", "k", "th", "p").mapInArrow(run, "k long, th long, data binary")
 
@@ -382,22 +452,19 @@ def repeated_far(segs: DataFrame, n: int, length: int) -> DataFrame:
 
 def cleaned(docs: DataFrame, length: int = 100, bytes_too: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every document; kept: the bytes that stay, or null."""
+    if not GRAM <= length <= LONGEST:
+        raise ValueError(f"a length from {GRAM} to {LONGEST} is needed")
     rows = keyed(docs)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    found = met(rows, max(1, size // RANGE), length)
-    # used four times and soon done with: kept on the executors' disks, and cut anew if one of them is lost
-    segs = cut_out(rows, found.where(F.col("kind") == LEFT), length).persist(StorageLevel.DISK_ONLY)
-    n = segs.count()
+    found = met(rows, max(1, size // RANGE), common_grams(rows, size, length), length)
+    segs = written(cut_out(rows, found.where(F.col("kind") != SPANS), length), "suffix-segments")
+    n = {r["far"]: r["n"] for r in segs.groupBy("far").agg(F.count("*").alias("n")).collect()}
     spans = [found.where(F.col("kind") == SPANS).select("k", "th", "data")]
-    if n:
-        led = segs.groupBy("lead").agg(F.count("*").alias("n")).where(F.col("n") > LED).select("lead")
-        far = segs.join(led, "lead", "left_semi")
-        near = segs.join(led, "lead", "left_anti")
-        spans.append(written(repeated_near(near, max(1, 8 * n // BUCKET), length), "suffix-near"))
-        n_far = far.count()
-        if n_far:
-            spans.append(repeated_far(far, max(1, 40 * n_far // BUCKET), length))
-    segs.unpersist()
+    if n.get(False):
+        spans.append(written(repeated_near(segs.where("not far"), max(1, 8 * n[False] // BUCKET), length), "suffix-near"))
+    if n.get(True):
+        spans.append(repeated_far(segs.where("far"), max(1, 40 * n[True] // BUCKET), length))
+    dropped(docs.sparkSession, segs.shared_path)
     every = spans[0]
     for more in spans[1:]:
         every = every.unionByName(more)

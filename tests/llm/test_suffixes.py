@@ -27,7 +27,7 @@ def columns(r):
     return r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256
 
 
-TINY = {"RANGE": 1 << 12, "HOT": 1, "LED": 2, "BLOCK": 20, "BUCKET": 500}
+TINY = {"RANGE": 1 << 12, "HOT": 1, "LED": 2, "BLOCK": 20, "BUCKET": 500, "COMMON": 3, "SEEN": 3, "SMALL": 2}
 
 
 @pytest.mark.parametrize("limits", [{}, TINY])
@@ -54,6 +54,37 @@ def test_shared_passages_and_periods(spark, monkeypatch, limits):
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in got.values())
 
 
+def thue_morse(n):
+    out = "a"
+    while len(out) < n:
+        out += out.translate({97: "b", 98: "a"})
+    return out[:n]
+
+
+def test_strings_whose_hashes_collide(spark):
+    """Thue-Morse strings and their complements have equal polynomial hashes modulo 2^64; bytes decide."""
+    rows = []
+    for n in (1024, 2048, 4096):
+        rows += [thue_morse(n), thue_morse(n).translate({97: "b", 98: "a"}), "x" * 30 + thue_morse(n)]
+    for parts, length in ((1, 1024), (4, 1024), (3, 100)):
+        frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(parts)
+        got = {r.doc_id: columns(r) for r in suffixes.cleaned(frame, length=length).collect()}
+        assert [got[i] for i in range(len(rows))] == brute(rows, length)
+
+
+def test_lengths(spark):
+    rng = np.random.default_rng(4)
+    long = "".join(rng.choice(list("abcdefgh"), 900))
+    rows = [long, "y" + long[100:700], long[:450] + "z" + long[450:]]
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for length in (40, 295, 400):
+        got = {r.doc_id: columns(r) for r in suffixes.cleaned(frame, length=length).collect()}
+        assert [got[i] for i in range(3)] == brute(rows, length)
+    for length in (39, 30_001):
+        with pytest.raises(ValueError):
+            suffixes.cleaned(frame, length=length)
+
+
 def test_odd_rows(odd, none):
     got = suffixes.cleaned(odd).collect()
     assert len(got) == odd.count() and suffixes.cleaned(none).count() == 0
@@ -65,10 +96,12 @@ def test_odd_rows(odd, none):
     assert by[4][0] == by[4][1]  # rows equal in id and text are one document
 
 
-def test_multikey_sort():
+@pytest.mark.parametrize("n", [0, 1, 2, 500, 5000])
+def test_multikey_sort(n):
     rng = np.random.default_rng(2)
-    words = rng.integers(0, 3, (500, 5)).astype(np.uint64)
-    order, head = suffixes.multikey(words)
-    want = sorted(range(500), key=lambda i: (tuple(words[i]), i))
-    assert order.tolist() == want
-    assert head.tolist() == [k == 0 or tuple(words[want[k]]) != tuple(words[want[k - 1]]) for k in range(500)]
+    for words in (rng.integers(0, 3, (n, 5)), rng.integers(0, 2**62, (n, 2)), np.zeros((n, 3), int), np.sort(rng.integers(0, 50, (n, 1)), axis=0)):
+        words = words.astype(np.uint64)
+        order, head = suffixes.multikey(words)
+        want = sorted(range(n), key=lambda i: (tuple(words[i]), i))
+        assert order.tolist() == want
+        assert head.tolist() == [k == 0 or tuple(words[want[k]]) != tuple(words[want[k - 1]]) for k in range(n)]
