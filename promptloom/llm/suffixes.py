@@ -143,21 +143,26 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]
 
 
-def by_document(rows: np.ndarray, kind: int, length: int) -> Iterator[tuple]:
-    """(kind, k, th, data) for each document: its repeated intervals, or its anchors that are left."""
-    if not len(rows):
-        return
-    rows = rows[np.lexsort((rows["pos"], rows["th"], rows["k"]))]
-    new = np.flatnonzero(np.concatenate([[True], (rows["k"][1:] != rows["k"][:-1]) | (rows["th"][1:] != rows["th"][:-1])]))
-    for a, b in zip(new, np.append(new[1:], len(rows))):
-        part = rows[a:b]
-        pos = part["pos"].astype(np.int64)
-        if kind == SPANS:
-            s, e = merged(pos - part["off"], pos - part["off"] + part["cnt"] - 1 + length)
-            data = np.stack([s, e]).astype("<u4").tobytes()
-        else:
-            data = np.stack([pos, part["off"], part["cnt"], np.full(len(pos), kind)]).astype("<u4").tobytes()
-        yield kind, int(part["k"][0]), int(part["th"][0]), data
+def by_document(rows: np.ndarray, kind: int, length: int) -> pa.RecordBatch:
+    """(kind, k, th, data), a row for each document: its repeated intervals (start, end), or its anchors left over (place, off, cnt, kind)."""
+    start = rows["pos"].astype(np.int64) - (rows["off"] if kind == SPANS else 0)
+    order = np.lexsort((start, rows["th"], rows["k"]))
+    rows, start = rows[order], start[order]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows["k"][1:] != rows["k"][:-1]) | (rows["th"][1:] != rows["th"][:-1])
+    doc = np.cumsum(new) - 1
+    if kind == SPANS:
+        end = np.maximum.accumulate(start + rows["cnt"] - 1 + length + (doc << 33)) - (doc << 33)  # the greatest so far in the document
+        cut = new.copy()
+        cut[1:] |= start[1:] > end[:-1]
+        last = np.append(cut[1:], True)[: len(rows)]
+        items, of = np.stack([start[cut], end[last]], axis=1), doc[cut]
+    else:
+        items, of = np.stack([start, rows["off"], rows["cnt"], np.full(len(rows), kind)], axis=1), doc
+    sizes = np.bincount(of, minlength=int(new.sum())) * items.shape[1] * 4
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    data = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(items.astype("<u4").tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), kind, np.int64)), pa.array(rows["k"][new]), pa.array(rows["th"][new]), data], ["kind", "k", "th", "data"])
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -201,8 +206,6 @@ def common_grams(rows: DataFrame, size: int, length: int) -> np.ndarray:
 def met(rows: DataFrame, n_ranges: int, common: np.ndarray, length: int) -> DataFrame:
     """(kind, k, th, data): repeats within a batch, and anchors left for the suffix sort."""
     fields = ["bucket", "kind", "k", "th", "data"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    as_batch = lambda out: pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], fields)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,15 +229,17 @@ def met(rows: DataFrame, n_ranges: int, common: np.ndarray, length: int) -> Data
         else:
             mark = hot = np.zeros(0, ANCHOR)
             hot = np.zeros(0, bool)
-        done = [*by_document(every[again], SPANS, length), *by_document(rest[hot], FAR, length)]
-        yield as_batch([(n_ranges + k % n_ranges, kind, k, th, x) for kind, k, th, x in done])
+        for done in (by_document(every[again], SPANS, length), by_document(rest[hot], FAR, length)):
+            yield pa.RecordBatch.from_arrays([pa.array(n_ranges + done.column("k").to_numpy() % n_ranges), *done.columns], fields)
         rest = np.concatenate([rest[~hot], mark])
         if not len(rest):
             return
         home = ((rest["key"] >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(home, kind="stable")
         cuts = np.searchsorted(home[order], np.unique(home))
-        yield as_batch([(int(home[order[x]]), -1, 0, 0, packed(rest[order[x:y]])) for x, y in zip(cuts, np.append(cuts[1:], len(order)))])
+        blobs = [packed(rest[order[x:y]]) for x, y in zip(cuts, np.append(cuts[1:], len(order)))]
+        none = pa.array(np.zeros(len(cuts), np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(home[order[cuts]]), pa.array(np.full(len(cuts), -1)), none, none, pa.array(blobs, pa.binary())], fields)
 
     def meet(table: pa.Table) -> pa.Table:
         kinds = table.column("kind").to_pylist()
@@ -250,9 +255,8 @@ def met(rows: DataFrame, n_ranges: int, common: np.ndarray, length: int) -> Data
         of = np.cumsum(new) - 1
         number, marked, real = number[of], marked[of], every["cnt"] > 0
         far = marked | (number > LED)
-        out = [*by_document(every[real & far], FAR, length), *by_document(every[real & ~far & (number > 1)], NEAR, length)]
-        made = pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate(zip(fields[1:], types[1:]))})
-        return pa.concat_tables([passed, made])
+        made = [by_document(every[real & far], FAR, length), by_document(every[real & ~far & (number > 1)], NEAR, length)]
+        return pa.concat_tables([passed, pa.Table.from_batches(made)])
 
     blobs = rows.mapInArrow(find, "bucket long, kind long, k long, th long, data binary")
     return written(blobs.groupBy("bucket").applyInArrow(meet, "kind long, k long, th long, data binary"), "suffix-anchors")
@@ -331,12 +335,11 @@ def later_equal(order: np.ndarray, head: np.ndarray, k: np.ndarray, th: np.ndarr
     return out
 
 
-def span_rows(k: np.ndarray, th: np.ndarray, p: np.ndarray, length: int) -> pa.RecordBatch:
-    """(k, th, data): the intervals of repeated windows, by document."""
+def span_rows(k: np.ndarray, th: np.ndarray, p: np.ndarray, length: int, number=1) -> pa.RecordBatch:
+    """(k, th, data): the intervals of repeated windows, by document; `number` of them from each place."""
     rows = np.zeros(len(k), ANCHOR)
-    rows["k"], rows["th"], rows["pos"], rows["cnt"] = k, th, p, 1
-    out = list(by_document(rows, SPANS, length))
-    return pa.RecordBatch.from_arrays([pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int64()), pa.array([r[3] for r in out], pa.binary())], ["k", "th", "data"])
+    rows["k"], rows["th"], rows["pos"], rows["cnt"] = k, th, p, number
+    return by_document(rows, SPANS, length).select(["k", "th", "data"])
 
 
 def cut_out(rows: DataFrame, left: DataFrame, length: int) -> DataFrame:
@@ -350,7 +353,7 @@ def cut_out(rows: DataFrame, left: DataFrame, length: int) -> DataFrame:
             out = []
             for i in range(batch.num_rows):
                 k, th, text, blobs = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_buffer().to_pybytes(), batch.column(3)[i].as_py()
-                at = np.concatenate([np.frombuffer(x, "<u4").reshape(4, -1) for x in blobs], axis=1).astype(np.int64)
+                at = np.concatenate([np.frombuffer(x, "<u4").reshape(-1, 4) for x in blobs]).T.astype(np.int64)
                 for pos, off, cnt, kind in at[:, np.argsort(at[0], kind="stable")].T.tolist():
                     out.append((kind == FAR, text[pos : pos + GRAM], k, th, pos - off, text[pos - off : pos - off + cnt - 1 + length]))
                 if len(out) >= 5_000:
@@ -388,8 +391,8 @@ def repeated_near(segs: DataFrame, n: int, length: int) -> DataFrame:
             again = later_equal(*multikey(as_words(data, starts, length)), k, th, p)
             spans = [span_rows(k[again], th[again], p[again], length)]
             rest = np.flatnonzero(np.logical_or.reduce([x != x[head] for x in of]))
-            k, th, p = windows([segs[i] for i in rest], *(x[rest] for x in of), length)[2:]
-            return pa.Table.from_batches([*spans, span_rows(k, th, p, length)]).combine_chunks().to_batches()
+            spans.append(span_rows(*(x[rest] for x in of), length, np.array([len(segs[i]) - length + 1 for i in rest], np.int64)))
+            return pa.Table.from_batches(spans).combine_chunks().to_batches()
 
         for batch in batches:
             for a in range(0, batch.num_rows, BLOCK):
@@ -477,7 +480,7 @@ def cleaned(docs: DataFrame, length: int = 100, bytes_too: bool = True) -> DataF
                 k, text, blobs = batch.column(0)[i].as_py(), batch.column(1)[i].as_buffer().to_pybytes(), batch.column(2)[i].as_py()
                 kept, n_removed, n_spans = text, 0, 0
                 if blobs:
-                    s, e = merged(*np.concatenate([np.frombuffer(x, "<u4").reshape(2, -1) for x in blobs], axis=1).astype(np.int64))
+                    s, e = merged(*np.concatenate([np.frombuffer(x, "<u4").reshape(-1, 2) for x in blobs]).T.astype(np.int64))
                     n_removed, n_spans = int((e - s).sum()), len(s)
                     kept = b"".join(text[a:b] for a, b in zip([0, *e.tolist()], [*s.tolist(), len(text)]))
                 out.append((None if k == NO_ID else k, len(text), n_removed, n_spans, hashlib.sha256(kept).hexdigest(), kept if bytes_too else None))
