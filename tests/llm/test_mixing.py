@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 
@@ -29,21 +31,42 @@ def test_targets_are_met(more, labels):
 
 
 def test_rates_against_a_plain_solver(spark):
-    """Projected gradient in one process on the same numbers."""
+    """Projected gradient without momentum, in one process, on the same numbers, until it stands still."""
     rng = np.random.default_rng(4)
-    p = rng.dirichlet([0.5, 0.5, 0.5], 300)
-    n = rng.integers(1, 500, 300)
-    frame = spark.createDataFrame([(i, int(n[i]), p[i].tolist()) for i in range(300)], "doc_id long, n_tokens long, p array<double>")
-    goal = np.array([0.7, 0.25, 0.05]) * n.sum()
-    steps, totals, target = mixing.solved(frame.repartition(3), 3, lambda t: goal)
-    gram = (p * n[:, None]).T @ p
-    r = np.ones(300)
-    for _ in range(len(steps)):
-        r = np.maximum(0, r - p @ np.linalg.solve(gram, (r * n) @ p - goal))
-    assert np.allclose(mixing.rates_after(p, steps), r, atol=1e-6) and np.allclose(totals, (r * n) @ p)
-    # these targets are out of reach, so the nearest totals count: the gradient of every positive rate is nought
-    slope = p @ np.linalg.solve(gram, totals - goal)
-    assert np.abs(slope[r > 1e-9]).max() < 0.02 and (slope[r <= 1e-9] > -0.02).all()
+    for alpha, share in (([0.5] * 3, [0.7, 0.25, 0.05]), ([20.0, 18.0, 5.0], [0.5, 0.46, 0.04]), ([6.0, 5.0, 4.0], [0.55, 0.3, 0.15])):
+        p = rng.dirichlet(alpha, 300)
+        n = rng.integers(1, 500, 300)
+        frame = spark.createDataFrame([(i, int(n[i]), p[i].tolist()) for i in range(300)], "doc_id long, n_tokens long, p array<double>")
+        goal = np.array(share) * n.sum()
+        steps, totals, target = mixing.solved(frame.coalesce(2), 3, lambda t: goal)
+        gram = (p * n[:, None]).T @ p
+        inverse, r = np.linalg.inv(gram), np.ones(300)
+        for _ in range(20_000):
+            r = np.maximum(0, r - p @ (inverse @ ((r * n) @ p - goal)))
+        assert np.allclose(mixing.rates_after(p, steps)[0] * n @ p, totals) and np.abs(totals - (r * n) @ p).max() < 1e-4 * n.sum()
+        # where the targets are out of reach the nearest totals count: the gradient of every positive rate is nought
+        slope, rate = p @ (inverse @ (totals - goal)), mixing.rates_after(p, steps)[0]
+        assert np.abs(slope[rate > 1e-3]).max() < 1e-3 and (slope[rate <= 1e-3] > -1e-3).all()
+
+
+def test_posteriors_against_a_plain_forward_pass(more, labels):
+    model = mixing.trained(more, labels)
+    rows = {r.doc_id: r.text for r in more.limit(60).collect()}
+    for r in mixing.posteriors(more.where(more.doc_id.isin(list(rows))), model).collect():
+        raw = rows[r.doc_id].encode()
+        runs = re.findall(rb"[a-z\x80-\xff]+", raw.lower())
+        z = np.array(model["bias"], float)
+        found = {int(mixing.words_of(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[1][0]) for w in set(runs)}
+        for bucket in found:
+            if model["place"][bucket] >= 0:
+                z = z + model["words"][model["place"][bucket]]
+        tokens = len(raw.split())
+        symbols = sum(raw.count(c) for c in b"#*$%&|<>")
+        repeats = sum(a == b for a, b in zip(runs, runs[1:]))
+        t = max(tokens, 1)
+        z = z + np.array([np.log1p(tokens) / 5, np.log1p(100 * symbols / t) / 3, np.log1p(100 * repeats / t) / 3, float(symbols > 0)]) @ model["figures"]
+        e = np.exp(z - z.max())
+        assert r.n_tokens == tokens and np.allclose(r.p, e / e.sum(), atol=1e-9)
 
 
 def test_classifier(more, labels):
