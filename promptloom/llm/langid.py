@@ -10,8 +10,9 @@ Since both layers are linear, prediction folds them into one table (bucket x lan
 text costs one gather and one sum a gram, over the whole text.
 
 Defined results. Null text, or one without a letter: `und`, score 0, rejected. No labelled row at all:
-every row is `und`. Repeated rows: each gets its result. Empty table: no rows. The columns id, text and
-lang are all that is read; others are left out.
+every row is `und`. Every label with a text is learned, however rare. Repeated rows: each gets its result. Ties between
+languages: the first by name. Very long texts: whole, some hundred kB at a time. Empty table: no rows. The columns id,
+text and lang are all that is read; others are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,11 +20,12 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import byte_rows, hash_keep, mixed, row_blocks
+from .shared import byte_rows, mixed, row_blocks
 
 SIZES = (2, 3, 4)
 LETTER = r"\p{L}"
@@ -161,12 +163,15 @@ def train(texts: list[bytes], langs: list[str], buckets: int = 1 << 16, dim: int
 
 def sampled(docs: DataFrame, per_lang: int, seed: int = 3) -> tuple[list[bytes], list[str]]:
     """About `per_lang` labelled rows a language at most, picked by a hash of the id: the documented bound of the training set."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(LETTER))
-    counts = {r["lang"]: r["n"] for r in docs.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(500).collect()}
-    cond = F.lit(False)
-    for lang, n in counts.items():
-        cond = cond | ((F.col("lang") == lang) & hash_keep(F.col("doc_id"), per_lang / n, seed))
-    rows = known.where(cond).select("doc_id", "lang", "text").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("text", "ascending")])
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(LETTER)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    share = {r["lang"]: per_lang / r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+
+    @F.pandas_udf("double")
+    def share_of(lang: pd.Series) -> pd.Series:
+        return lang.map(share)
+
+    picked = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) < share_of("lang") * F.lit(float(1 << 20))
+    rows = known.where(picked).toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("text", "ascending")])
     used: dict[str, int] = {}
     texts, langs = [], []
     for text, lang in zip(rows.column("text").cast(pa.binary()).to_pylist(), rows.column("lang").to_pylist()):

@@ -1,4 +1,5 @@
 import binascii
+import re
 
 import numpy as np
 
@@ -49,3 +50,49 @@ def test_prediction_does_not_depend_on_batches(docs):
     a = {r.doc_id: r.score for r in langid.identify(docs, model).collect()}
     b = {r.doc_id: r.score for r in langid.identify(docs.repartition(7), model).collect()}
     assert all(abs(a[i] - b[i]) < 1e-9 for i in a)
+
+
+def test_scores_against_a_plain_forward_pass(docs):
+    """Every n-gram of every word between spaces, one at a time, in Python integers."""
+    model = langid.trained(docs, per_lang=50)
+    mask = (1 << 64) - 1
+
+    def mixed(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & mask
+        return x ^ (x >> 31)
+
+    def plain(text):
+        raw = re.sub(rb"[^a-z\x80-\xff]+", b" ", b" " + text.lower().encode() + b" ") if text.isascii() else re.sub(rb"[^a-z\x80-\xff]+", b" ", b" " + re.sub(rb"[A-Z]", lambda m: m[0].lower(), text.encode()) + b" ")
+        total, count = np.zeros(len(model["names"])), 0
+        for size in langid.SIZES:
+            for at in range(len(raw) - size + 1):
+                gram = raw[at : at + size]
+                if b" " not in gram[1:-1]:
+                    total, count = total + model["table"][mixed(int.from_bytes(bytes([size]) + gram, "big") & mask) % len(model["table"])], count + 1
+        z = (total / max(count, 1) + model["bias"]) / model["temperature"]
+        e = np.exp(z - z.max())
+        return e / e.sum()
+
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").limit(40).collect()}
+    for r in langid.identify(docs.where(docs.doc_id.isin(list(texts))), model).collect():
+        p = plain(texts[r.doc_id])
+        assert r.lang_pred == model["names"][int(p.argmax())] and abs(r.score - p.max()) < 1e-6
+        assert r.rejected == (r.score < model["threshold"])
+
+
+def test_rare_labels_are_learned(spark):
+    rows = [(i, f"word{i % 600} text {i}", f"l{i % 600:03d}") for i in range(3000)]
+    texts, langs = langid.sampled(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 10)
+    assert len(set(langs)) == 600
+
+
+def test_repeated_rows_and_ties(spark, docs):
+    model = langid.trained(docs, per_lang=50)
+    got = langid.identify(docs.limit(20).unionByName(docs.limit(20)), model).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, set()).add((r.lang_pred, r.score))
+    assert len(got) == 40 and all(len(x) == 1 for x in by.values())
+    flat = model | {"table": np.zeros_like(model["table"]), "bias": np.zeros_like(model["bias"])}
+    assert {r.lang_pred for r in langid.identify(docs.limit(5), flat).collect()} == {model["names"][0]}
