@@ -58,8 +58,18 @@ def test_archives_open_with_the_dictionary_and_payloads_survive(spark, small):
         assert found[row.page_id]["payload"] == row.html.encode() and found[row.page_id]["url"] == row.url
 
 
-def test_too_few_records_for_a_dictionary():
-    assert warc.dictionary([]) == b"" and warc.dictionary([b"a"] * 9) == b""
+def test_few_records_are_their_own_dictionary(spark):
+    assert warc.dictionary([]) == b"" and warc.dictionary([b"abc" * 9]) == b"abc" * 9
+    path = new_path(spark, "warc-few")
+    own = warc.write(frame(spark, PAGES[:3]), path)
+    assert own and b"x" * 100 in own
+    assert warc.read(spark, path).count() == 3
+
+
+def test_revisits_by_join_without_broadcast(spark, monkeypatch):
+    rows = frame(spark, PAGES * 2)
+    key = lambda r: (r.page_id is None, r.page_id or 0, r.digest, r.url or "")
+    assert sorted(warc.referred(rows).collect(), key=key) == sorted(warc.referred(rows, small=0).collect(), key=key)
 
 
 def test_against_sql(spark, small):
