@@ -4,9 +4,10 @@ Two fingerprints link if they differ in at most `radius` of 64 bits. A vantage-p
 64 bits can't prune here: distances between unrelated fingerprints crowd round 32, so that nearly
 every query overlaps every ball. Hence a forest: the bits are cut into parts, and by the general
 pigeonhole principle a linked pair differs in at most r_i bits of some part i, where the r_i add up
-to radius - parts + 1. Each part gets a vantage-point tree in its own Hamming distance. A fingerprint
-has one home leaf a tree, and visits each leaf that its ball of radius r_i overlaps by the triangle
-bound |d(q, v) - d(x, v)| <= d(q, x); so every linked pair meets in a leaf, where all 64 bits decide.
+to radius - parts + 1. The more fingerprints, the fewer and wider the parts, so that a part's values don't run out. Each part
+gets a vantage-point tree in its own Hamming distance, grown on a bounded sample. A fingerprint has one home leaf a tree, and
+visits each leaf that its ball of radius r_i overlaps by the triangle bound |d(q, v) - d(x, v)| <= d(q, x); so every linked
+pair meets in a leaf. A leaf is a shard; there a tree of its own, grown on what came, prunes further, and all 64 bits decide.
 
 A small radius misses most pairs with a Jaccard similarity of 0.8, and no radius reaches all. By
 similarity, such pairs are candidates too whose sets of shingles share one of their prefixes: sorted by
@@ -14,8 +15,8 @@ one order, two sets of n and m shingles with similarity t share one of the first
 m - ceil(t m) + 1. The exact similarity decides on every candidate.
 
 Defined results. Null text: as empty, fingerprint zero. Null doc_id: a fingerprint, but no part in
-links; component_id null. Repeated doc_ids: each row counts. Empty table: no rows. Further columns of
-the input are left out.
+links; component_id null. Repeated doc_ids: each row counts. Ties: of equal fingerprints the smallest doc_id stands for all.
+Very long texts: whole, one at a time. Empty table: no rows. Further columns of the input are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,8 +31,10 @@ from pyspark.sql import functions as F
 
 from .shared import as_bytes, components, dropped, hash_keep, written
 
-#: Fingerprints that a leaf should hold, sampled ones for each leaf of a tree, homes and rows of one cell at most.
-LEAF, SAMPLES, HOMES, ROWS = 4096, 64, 8192, 1 << 20
+#: Fingerprints that a leaf should hold, sampled ones for each leaf of a tree, least and greatest depth of it, homes and rows of one cell at most.
+LEAF, SAMPLES, SHALLOW, DEEP, HOMES, ROWS = 2048, 16, 2, 16, 4096, 16384
+#: Homes that a leaf of a shard's own tree holds at most, where vantage points can split them.
+INNER = 256
 #: Frequent shingles that are told apart, and rows of prefixes for each bucket.
 COMMON, TOKENS = 200_000, 250_000
 
@@ -76,6 +79,12 @@ def parts_of(radius: int, parts: int = 4) -> list[tuple[int, int]]:
     return [(((1 << b) - 1) ^ ((1 << a) - 1), r) for a, b, r in zip(cuts, cuts[1:], radii) if r >= 0]
 
 
+def parts_for(n: int, radius: int) -> int:
+    """Parts for n fingerprints: as many as leave each part so many values that a leaf needs to hold LEAF of them only."""
+    most = max(1, min(4, radius))
+    return max((k for k in range(1, most + 1) if n <= LEAF << (64 // k)), default=1)
+
+
 def grow(sample: np.ndarray, mask: int, depth: int, rng) -> tuple | None:
     """A tree (vantage, distance, near, far) over sampled fingerprints; None is a leaf."""
     if depth == 0 or len(sample) < 8:
@@ -125,18 +134,31 @@ def forest_links(fps: np.ndarray, homes: np.ndarray, radius: int) -> tuple[np.nd
     return np.array(us, np.int64), np.array(vs, np.int64)
 
 
+def within(fps: np.ndarray, homes: np.ndarray, mask: int, part: int, radius: int):
+    """Row numbers (with their homes) that meet in the leaves of a tree over the rows themselves."""
+    depth = math.ceil(math.log2(max(1, int(homes.sum()) / INNER)))
+    if depth <= 0:
+        yield np.arange(len(fps)), homes
+        return
+    rng = np.random.default_rng(0)
+    own = fps[homes]
+    tree = grow(rng.choice(own, min(len(own), 32 << depth), replace=False), mask, depth + 2, rng)
+    for _, rows, home in routed(fps, tree, mask, part):
+        mine = homes[rows] & home
+        if mine.any():
+            yield rows, mine
+
+
 def links(reps: DataFrame, radius: int) -> DataFrame:
     """(u, v): links between the `first` documents of distinct fingerprints (fp, first), enough to span each component."""
     n = reps.count()
-    depth = max(0, math.ceil(math.log2(max(1, n) / LEAF)))
-    parts, trees = parts_of(radius), []
-    sample = np.zeros(0, np.uint64)
-    if depth:
-        share = SAMPLES * 2**depth / n
-        rows = reps.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 24)) < F.lit(int(share * (1 << 24)) + 1)).select("fp").toArrow()
-        sample = np.sort(rows.column(0).to_numpy().view(np.uint64))
+    depth = min(DEEP, max(SHALLOW, math.ceil(math.log2(max(1, n) / LEAF))))
+    parts, trees = parts_of(radius, parts_for(n, radius)), []
+    share = min(1.0, SAMPLES * 2**depth / max(n, 1))  # at most SAMPLES << DEEP fingerprints, about a million
+    rows = reps.where(hash_keep(F.col("fp"), share, 42)).select("fp").toArrow()
+    sample = np.sort(rows.column(0).to_numpy().view(np.uint64))
     for k, (mask, _) in enumerate(parts):
-        trees.append(grow(sample, mask, depth + 2, np.random.default_rng(k)) if len(sample) else None)
+        trees.append(grow(sample, mask, depth + 2, np.random.default_rng(k)))
 
     def route(batches):
         for batch in batches:
@@ -168,8 +190,13 @@ def links(reps: DataFrame, radius: int) -> DataFrame:
 
     def meet(table: pa.Table) -> pa.Table:
         first, fp, home = (table.column(x).to_numpy() for x in ("first", "fp", "home"))
-        u, v = forest_links(fp.view(np.uint64), home, radius)
-        return pa.table({"u": pa.array(first[u], pa.int64()), "v": pa.array(first[v], pa.int64())})
+        mask, part = parts[table.column("shard")[0].as_py() % len(parts)]
+        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for rows, mine in within(fp.view(np.uint64), home, mask, part, radius):
+            u, v = forest_links(fp.view(np.uint64)[rows], mine, radius)
+            us.append(first[rows[u]])
+            vs.append(first[rows[v]])
+        return pa.table({"u": pa.array(np.concatenate(us), pa.int64()), "v": pa.array(np.concatenate(vs), pa.int64())})
 
     return cells.groupBy("shard", "i", "j").applyInArrow(meet, "u long, v long").distinct()
 
@@ -255,8 +282,9 @@ def shared_prefixes(sets: DataFrame) -> DataFrame:
     return tokens.withColumn("bucket", F.pmod("token", F.lit(max(1, math.ceil(total / TOKENS))))).groupBy("bucket").applyInArrow(met, "token long, key long, n int, at int")
 
 
-def pairs_apart(shared: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): all pairs of sets with different labels that share a shingle of their prefixes and may be so similar.
+def pairs_apart(shared: DataFrame, labels: DataFrame, similarity: float, spanning: bool = False) -> DataFrame:
+    """(a, b): all pairs of sets with different labels that share a shingle of their prefixes and may be so similar; spanning: of a
+    shingle's labels, only the first with each and each with the next one, by a member each.
 
     At the first shingle that two sets share nothing before it counts, so they share no more than what either has from there on.
     """
@@ -268,6 +296,14 @@ def pairs_apart(shared: DataFrame, labels: DataFrame, similarity: float) -> Data
         us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for a, b in zip(*runs(token[order])):
             begin, end = runs(label[a:b])
+            if spanning:
+                heads = a + begin
+                x, y = np.concatenate([np.repeat(heads[:1], len(heads) - 1), heads[1:-1]]), np.concatenate([heads[1:], heads[2:]])
+                o = np.minimum(rest[x], rest[y])
+                near = o >= similarity * (n[x] + n[y] - o) - 1e-6
+                us.append(key[x[near]])
+                vs.append(key[y[near]])
+                continue
             for x, y in zip((a + begin).tolist(), (a + end).tolist()):
                 for k in range(x, y if y < b else x):  # with all of later labels
                     o = np.minimum(rest[k], rest[y:b])
@@ -337,6 +373,10 @@ def similar_components(fps: DataFrame, docs: DataFrame, shingle: int, radius: in
     firsts = reps.select(F.col("key").alias("of"), F.col("first").alias("id"))
     sets = fps.join(firsts, (fps["key"] == firsts["of"]) & (fps["doc_id"] == firsts["id"]), "left_semi")
     shared = written(shared_prefixes(sets), "simhash-shared")
+    # few pairs that span each shingle's labels first: what they join needs no further asking, so a group is not expanded into its pairs
+    span = written(plausible(pairs_apart(shared, labels, similarity, spanning=True), reps, similarity), "simhash-span")
+    first = written(first.unionByName(similar(span, docs, reps, shingle, similarity)), "simhash-similar")
+    labels = components(first.select(F.col("a").alias("u"), F.col("b").alias("v")), "simhash-labels")
     apart = written(plausible(pairs_apart(shared, labels, similarity), reps, similarity), "simhash-pairs")
     dropped(docs.sparkSession, shared.shared_path)
     pairs = first.unionByName(similar(apart, docs, reps, shingle, similarity))

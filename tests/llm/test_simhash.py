@@ -35,10 +35,11 @@ def test_query_against_brute_force(spark, small, texts):
     assert {i: r.component_id for i, r in got.items()} == want
 
 
-@pytest.mark.parametrize("limits", [(4, 4, 8192, 1 << 20), (16, 8, 3, 10)])
-def test_links_of_random_clusters(spark, monkeypatch, limits):
-    for name, value in zip(("LEAF", "SAMPLES", "HOMES", "ROWS"), limits):
+@pytest.mark.parametrize("limits, parts", [((4, 4, 8192, 1 << 20, 256), 4), ((16, 8, 3, 10, 2), 4), ((64, 16, 8192, 1 << 20, 4), 3), ((64, 16, 8192, 1 << 20, 4), 2), ((2048, 16, 4096, 16384, 256), 1)])
+def test_links_of_random_clusters(spark, monkeypatch, limits, parts):
+    for name, value in zip(("LEAF", "SAMPLES", "HOMES", "ROWS", "INNER"), limits):
         monkeypatch.setattr(simhash, name, value)
+    monkeypatch.setattr(simhash, "parts_for", lambda n, radius: parts)
     rng = np.random.default_rng(3)
     fps = []
     for _ in range(30):
@@ -64,6 +65,19 @@ def test_parts_cover_every_pair(radius, parts):
         assert any((diff & mask).bit_count() <= r for mask, r in cut)
 
 
+def test_trees_at_every_size_and_parts_that_widen():
+    rng = np.random.default_rng(1)
+    few = rng.integers(0, 2**63, 32, dtype=np.uint64)
+    assert simhash.grow(few, 0xFFFF, simhash.SHALLOW + 2, rng) is not None
+    assert [simhash.parts_for(n, 4) for n in (1, 10**6, 10**9, 10**12)] == [4, 4, 3, 2]
+    # a tree over the rows themselves prunes: fewer comparisons than all pairs, none lost
+    fps = rng.integers(0, 2**63, 6000, dtype=np.uint64)
+    homes = np.ones(len(fps), bool)
+    met = list(simhash.within(fps, homes, 0xFFFF, 1, 4))
+    assert len(met) > 8 and sum(int(h.sum()) * len(r) for r, h in met) < 0.8 * len(fps) ** 2
+    assert sum(int(h.sum()) for _, h in met) == len(fps)
+
+
 def test_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7)], "u long, v long")
     got = {r.node: r.component for r in components(edges).collect()}
