@@ -3,12 +3,14 @@
 Training aggregates, in Spark, the labelled rows into a cube: every statistic cut at quantiles, counts by
 label in two halves (by a hash of the id). Sequential covering then works on that bounded cube: it grows
 a conjunction of thresholds by FOIL gain on the growing half, prunes it on the other half, emits it if it
-still rejects precisely enough, takes away what it covers and goes on. The list becomes one ordered
-CASE expression. All of it are DataFrame functions; the driver sees only the cube.
+still rejects precisely enough, takes away what it covers and goes on; where it does not, the next best first condition
+is tried. The list becomes one ordered CASE expression. All of it are DataFrame functions; the driver sees only the
+cube: 15 cuts a statistic and two halves bound it by 2 * 16^5 cells, and the labelled rows do.
 
 Defined results. Null or empty text: no words, so base_failed and not kept. Null doc_id: judged all the
 same, never joined to a label. Repeated rows: each is judged. No labels, or labels of one kind: an empty
-list, so the base decides. Empty table: no rows. Columns other than doc_id and text are left out.
+list, so the base decides. Labels that repeat an id: the least. Ties between conditions: the first by statistic, cut and
+side. Very long texts: whole, their windows in the memory of a task. Empty table: no rows. Columns other than doc_id and text are left out.
 """
 
 from __future__ import annotations
@@ -121,6 +123,7 @@ def covering(cells: list[tuple[bool, tuple[int, ...], int, int]], edges: dict[st
         return (bad[some].sum() + 1) / (bad[some].sum() + good[some].sum() + 2)
 
     out = []
+    barred: set[tuple[int, str, int]] = set()  # first conditions that led to no rule since the last one
     while len(out) < max_rules:
         rule: list[tuple[int, str, int]] = []
         inside = left & ~prune
@@ -128,6 +131,8 @@ def covering(cells: list[tuple[bool, tuple[int, ...], int, int]], edges: dict[st
         while b and g and len(rule) < 4:
             best = (1e-9, None, 0, 0)
             for test in tests:
+                if not rule and test in barred:
+                    continue
                 some = inside & ((place[:, test[0]] > test[2]) == (test[1] == ">"))
                 tb, tg = int(bad[some].sum()), int(good[some].sum())
                 if tb >= min_cover:
@@ -146,9 +151,11 @@ def covering(cells: list[tuple[bool, tuple[int, ...], int, int]], edges: dict[st
         some = holds(rule)
         b, g = int(bad[some].sum()), int(good[some].sum())
         if b < min_cover or b / (b + g) < min_precision or precision(rule, prune) < min_precision - 0.1:
-            break
+            barred.add(rule[0])
+            continue
         out.append([(names[k], op, float(edges[names[k]][at])) for k, op, at in rule])
         left &= ~some
+        barred.clear()
     return out
 
 
