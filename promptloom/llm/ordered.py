@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,21 +13,23 @@ from pyspark.sql import functions as F
 
 NO_ID = -(2**63)
 
-#: Bytes of text in a range of ids, ranges for each partition, and ranges at most.
-RANGE, EACH, MOST = 2 << 20, 8, 1 << 14
+#: Bytes of text in a range of ids at least, their growth with the square root of all bytes, and ranges for each partition:
+#: 100 TB are cut into 625,000 ranges of 160 MB, so that neither the splitters nor a task grows in proportion.
+RANGE, GROWTH, EACH = 2 << 20, 16, 4
 
 
 def with_next(docs: DataFrame, run: Callable[[list[tuple[int | None, bytes]], tuple[int | None, bytes]], pa.RecordBatch], schema: str, block: int = 1 << 20) -> DataFrame:
     """Calls run(rows, next) on consecutive rows of (doc_id, text in UTF-8) and the row behind them.
 
-    Sampled splitters cut the ids into ranges of some MB of text; the first row of each range goes to the range
+    Sampled splitters cut the ids into ranges of some MB of text (more for more text, as its square root); the first row of each range goes to the range
     before as well, the very first one to the last. So rows are dealt once, by range, and no task sees
     more than a few ranges. Null ids come first; rows of one id follow the order of their texts; a null
     text is empty. The row behind the last is the first (with one row: itself).
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
-    n_ranges = int(min(MOST, max(1, (size["b"] or 0) // RANGE, size["n"] // 1_000_000)))
+    n_bytes = size["b"] or 0
+    n_ranges = int(max(1, n_bytes // max(RANGE, GROWTH * math.isqrt(n_bytes)), math.isqrt(size["n"]) // 1000))
     cuts = []
     if n_ranges > 1:
         share = [i / n_ranges for i in range(1, n_ranges)]
