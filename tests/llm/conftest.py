@@ -1,7 +1,7 @@
 import pytest
 
 #: Columns that operators use inside; a table may have them too.
-CLASH = ("k", "th", "fp", "first", "shard", "home", "p", "rate", "score", "bucket", "kind", "data", "component", "node", "t", "r", "us", "copy", "copies", "words", "digest", "payload")
+CLASH = ("k", "th", "fp", "first", "shard", "home", "p", "rate", "score", "bucket", "kind", "data", "component", "node", "t", "r", "us", "copy", "copies", "kept_id", "decided_id", "lang_pred", "rejected", "n", "a", "b", "words", "digest", "payload")
 
 ROWS = [
     (1, "the quick brown fox jumps over the lazy dog again and again", "en"),
