@@ -41,7 +41,7 @@ INJECTIONS = (
 INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff"
 
 #: A text without any of these has no hazard; it spares most texts the many patterns.
-_HINT = re.compile(r"(?ai)@|[0-9]{3}|sk-|gh[po]_|github_pat_|AKIA|xox|AIza|eyJ|-----BEGIN|bearer|ignore |you are|DAN|reveal |disregard |jailbreak")
+_HINT = re.compile(r"(?ai)@|[0-9]{3}|[0-9][ \t-]+[0-9]|sk-|gh[po]_|github_pat_|AKIA|xox|AIza|eyJ|-----BEGIN|bearer|ignore |you are|DAN|reveal |disregard |jailbreak")
 
 
 def luhn(raw: str) -> bool:

@@ -105,11 +105,6 @@ def spread(x: np.ndarray) -> np.ndarray:
     return (x - x.min()) / span if span > 1e-12 else np.zeros(len(x))
 
 
-def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    norm = np.linalg.norm(a, axis=-1) * np.linalg.norm(b, axis=-1)
-    return np.divide((a * b).sum(axis=-1), norm, out=np.zeros(norm.shape), where=norm > 0)
-
-
 def cluster_score(tokens: list[str], significant: set[str]) -> float:
     """Best squared count over length of stretches whose significant words stand at most GAP apart."""
     places = [i for i, t in enumerate(tokens) if t in significant]
@@ -146,60 +141,97 @@ def wanted(n: int, o: SummaryOptions) -> int:
     return min(caps)
 
 
-def relevance(sentences: list[Sentence], o: SummaryOptions) -> tuple[np.ndarray, np.ndarray]:
-    """(relevance, TF-IDF rows)."""
-    n = len(sentences)
-    df = Counter(t for s in sentences for t in dict.fromkeys(s.tokens))
-    column = {t: k for k, t in enumerate(df)}
-    idf = np.array([math.log((1 + n) / (1 + d)) + 1 for d in df.values()])
-
-    def row(tokens: list[str]) -> np.ndarray:
-        out = np.zeros(len(column))
-        for t, c in Counter(tokens).items():
-            if t in column:
-                out[column[t]] = c / len(tokens) * idf[column[t]]
+class Vectors:
+    """The sentences' TF-IDF vectors, sparse: entries (row, column, value) by row, and where a column's entries are."""
+
+    def __init__(self, sentences: list[Sentence]):
+        n = len(sentences)
+        self.df = Counter(t for s in sentences for t in dict.fromkeys(s.tokens))
+        self.column = {t: k for k, t in enumerate(self.df)}
+        self.idf = np.array([math.log((1 + n) / (1 + d)) + 1 for d in self.df.values()])
+        made = [self.entries(s.tokens) for s in sentences]
+        self.size = np.array([len(c) for c, _ in made])
+        self.begin = np.concatenate([[0], np.cumsum(self.size)])
+        self.row = np.repeat(np.arange(n), self.size)
+        self.at, self.value = (np.concatenate([m[k] for m in made]) for k in (0, 1))
+        self.norm = np.sqrt(np.bincount(self.row, weights=self.value**2, minlength=n))
+        self.by_column = np.argsort(self.at, kind="stable")
+        self.posting = np.concatenate([[0], np.cumsum(np.bincount(self.at, minlength=len(self.df)))])
+
+    def entries(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        known = [(self.column[t], c) for t, c in Counter(tokens).items() if t in self.column]
+        at = np.array([k for k, _ in known], np.int64)
+        return at, np.array([c for _, c in known], float) / max(1, len(tokens)) * self.idf[at]
+
+    def cosines(self, vector: np.ndarray) -> np.ndarray:
+        """Of every sentence with a vector over the columns."""
+        return self.scaled(np.bincount(self.row, weights=self.value * vector[self.at], minlength=len(self.size)), float(np.sqrt((vector**2).sum())))
+
+    def scaled(self, dots: np.ndarray, norm: float) -> np.ndarray:
+        both = self.norm * norm
+        return np.divide(dots, both, out=np.zeros(len(dots)), where=both > 0)
+
+    def near(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Cosine and Jaccard similarity of every sentence with sentence i, by the entries of its own terms alone."""
+        own = slice(self.begin[i], self.begin[i + 1])
+        spans = [self.by_column[self.posting[c] : self.posting[c + 1]] for c in self.at[own]]
+        found = np.concatenate(spans) if spans else np.zeros(0, np.int64)
+        weight = np.repeat(self.value[own], [len(x) for x in spans])
+        n = len(self.size)
+        dots = np.bincount(self.row[found], weights=self.value[found] * weight, minlength=n)
+        shared = np.bincount(self.row[found], minlength=n)
+        union = self.size + self.size[i] - shared
+        return self.scaled(dots, float(self.norm[i])), np.divide(shared, union, out=np.ones(n), where=union > 0)
+
+    def dense(self) -> np.ndarray:
+        out = np.zeros((len(self.size), len(self.df)))
+        out[self.row, self.at] = self.value
         return out
 
-    rows = np.stack([row(s.tokens) for s in sentences])
-    central = spread(cosines(rows, rows.mean(axis=0)))
+
+def relevance(sentences: list[Sentence], o: SummaryOptions) -> tuple[np.ndarray, Vectors]:
+    """(relevance, TF-IDF vectors)."""
+    n = len(sentences)
+    vectors = Vectors(sentences)
+    df = vectors.df
+    mean = np.bincount(vectors.at, weights=vectors.value, minlength=len(df)) / n
+    central = spread(vectors.cosines(mean))
     significant = set(df) if n <= 2 else {t for t, d in df.items() if 2 <= d < n} or set(df)
     clusters = spread(np.array([cluster_score(s.tokens, significant) for s in sentences]))
     place = 1 - np.arange(n) / (n - 1) * 0.7
     place[-1] = max(place[-1], 0.6)
     place = spread(place)
     query = (o.query or "").strip(SPACE)
-    asked = spread(cosines(rows, row(tokenize(query)))) if query else np.zeros(n)
+    asked = np.zeros(n)
+    if query:
+        wish = np.zeros(len(df))
+        at, value = vectors.entries(tokenize(query))
+        wish[at] = value
+        asked = spread(vectors.cosines(wish))
     if o.method == "textrank" and n <= WALK_LIMIT:
-        norm = np.linalg.norm(rows, axis=1)
-        unit = rows / np.where(norm > 0, norm, 1)[:, None]
+        unit = vectors.dense() / np.where(vectors.norm > 0, vectors.norm, 1)[:, None]
         sims = unit @ unit.T
         np.fill_diagonal(sims, 0)
         rank = spread(walk(np.where(sims > EDGE, sims, 0)))
-        return (0.7 * rank + 0.2 * asked + 0.1 * place if query else 0.85 * rank + 0.15 * place), rows
-    return (0.25 * clusters + 0.25 * central + 0.1 * place + 0.4 * asked if query else 0.4 * clusters + 0.4 * central + 0.2 * place), rows
+        return (0.7 * rank + 0.2 * asked + 0.1 * place if query else 0.85 * rank + 0.15 * place), vectors
+    return (0.25 * clusters + 0.25 * central + 0.1 * place + 0.4 * asked if query else 0.4 * clusters + 0.4 * central + 0.2 * place), vectors
 
 
-def pick(scores: np.ndarray, rows: np.ndarray, sentences: list[Sentence], keep: int, o: SummaryOptions) -> list[bool]:
-    """Greedy choice by relevance against likeness to what is picked, within the token budget."""
+def pick(scores: np.ndarray, vectors: Vectors, sentences: list[Sentence], keep: int, o: SummaryOptions) -> list[bool]:
+    """Greedy choice by relevance against likeness to what is picked, within the token budget; of equal ones the first."""
     n = len(sentences)
     weight = TRADE_OFF if o.trade_off is None or o.trade_off != o.trade_off else min(1.0, max(0.0, o.trade_off))
-    sets = [set(s.tokens) for s in sentences]
-    cost = [o.count(s.text) for s in sentences] if o.max_tokens is not None else [0] * n
-    likeness, chosen, used = np.zeros(n), [False] * n, 0.0
+    cost = np.array([o.count(s.text) for s in sentences] if o.max_tokens is not None else [0] * n, float)
+    likeness, free, used = np.zeros(n), np.ones(n, bool), 0.0
     for turn in range(keep):
-        value = weight * scores - (1 - weight) * likeness
-        free = [i for i in range(n) if not chosen[i] and (o.max_tokens is None or turn == 0 or used + cost[i] <= o.max_tokens)]
-        if not free:
+        open_ = free if o.max_tokens is None or turn == 0 else free & (used + cost <= o.max_tokens)
+        if not open_.any():
             break
-        best = max(free, key=lambda i: (value[i], -i))
-        chosen[best] = True
+        best = int(np.argmax(np.where(open_, weight * scores - (1 - weight) * likeness, -np.inf)))
+        free[best] = False
         used += cost[best]
-        near = cosines(rows, rows[best])
-        for i in range(n):
-            both = len(sets[i] | sets[best])
-            near[i] = max(near[i], len(sets[i] & sets[best]) / both if both else 1.0)
-        likeness = np.maximum(likeness, near)
-    return chosen
+        likeness = np.maximum(likeness, np.maximum(*vectors.near(best)))
+    return (~free).tolist()
 
 
 def summarize(text: str | None, o: SummaryOptions = SummaryOptions()) -> tuple[str | None, list[Scored]]:
@@ -214,7 +246,7 @@ def summarize(text: str | None, o: SummaryOptions = SummaryOptions()) -> tuple[s
     if len(sentences) == 1:
         s = sentences[0]
         return s.text, [Scored(s.start, s.end, s.text, 1.0, True)]
-    scores, rows = relevance(sentences, o)
-    chosen = pick(scores, rows, sentences, wanted(len(sentences), o), o)
+    scores, vectors = relevance(sentences, o)
+    chosen = pick(scores, vectors, sentences, wanted(len(sentences), o), o)
     out = [Scored(s.start, s.end, s.text, float(x), c) for s, x, c in zip(sentences, scores, chosen)]
     return " ".join(s.text for s in out if s.selected), out

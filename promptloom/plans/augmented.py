@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.drafts import spread
+
 #: Works on a table with doc_id and text; every row stays, whole.
 TEXT = """CASE doc_id % 12
   WHEN 0 THEN concat('In order to win, please do not wait at this point in time. ', text)
@@ -23,4 +25,4 @@ SQL = f"SELECT doc_id, lang, {TEXT} AS text FROM documents"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", "lang", f"{TEXT} AS text")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")).selectExpr("doc_id", "lang", f"{TEXT} AS text")

@@ -18,6 +18,12 @@ def drafts(rows: DataFrame, key: str | list[str], text: str | Column = "text") -
     return rows.select(*keys, (F.col(text) if isinstance(text, str) else text).cast("string").alias("text"))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt evenly over the cores where the scan has fewer splits than there are cores; larger tables stay as they are read."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(4 * cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def text_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """One row a file: its path and whole text."""
     return spark.read.option("pathGlobFilter", glob).text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
