@@ -48,6 +48,7 @@ SMALL = 48
 
 ANCHOR = np.dtype([("key", "<u8"), ("k", "<i8"), ("th", "<i8"), ("pos", "<u4"), ("off", "<u2"), ("cnt", "<u2")])
 SPANS, NEAR, FAR = 0, 1, 2
+FIELDS = ["kind", "k", "th", "data", "at"]
 
 
 def running(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,26 +144,29 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]
 
 
-def by_document(rows: np.ndarray, kind: int, length: int) -> pa.RecordBatch:
-    """(kind, k, th, data), a row for each document: its repeated intervals (start, end), or its anchors left over (place, off, cnt, kind)."""
-    start = rows["pos"].astype(np.int64) - (rows["off"] if kind == SPANS else 0)
+def by_document(rows: np.ndarray, length: int) -> pa.RecordBatch:
+    """(kind, k, th, data, at): for each document its repeated intervals (start, end)."""
+    start = rows["pos"].astype(np.int64) - rows["off"]
     order = np.lexsort((start, rows["th"], rows["k"]))
     rows, start = rows[order], start[order]
     new = np.ones(len(rows), bool)
     new[1:] = (rows["k"][1:] != rows["k"][:-1]) | (rows["th"][1:] != rows["th"][:-1])
     doc = np.cumsum(new) - 1
-    if kind == SPANS:
-        end = np.maximum.accumulate(start + rows["cnt"] - 1 + length + (doc << 33)) - (doc << 33)  # the greatest so far in the document
-        cut = new.copy()
-        cut[1:] |= start[1:] > end[:-1]
-        last = np.append(cut[1:], True)[: len(rows)]
-        items, of = np.stack([start[cut], end[last]], axis=1), doc[cut]
-    else:
-        items, of = np.stack([start, rows["off"], rows["cnt"], np.full(len(rows), kind)], axis=1), doc
-    sizes = np.bincount(of, minlength=int(new.sum())) * items.shape[1] * 4
+    end = np.maximum.accumulate(start + rows["cnt"] - 1 + length + (doc << 33)) - (doc << 33)  # the greatest so far in the document
+    cut = new.copy()
+    cut[1:] |= start[1:] > end[:-1]
+    last = np.append(cut[1:], True)[: len(rows)]
+    items, of = np.stack([start[cut], end[last]], axis=1), doc[cut]
+    sizes = np.bincount(of, minlength=int(new.sum())) * 8
     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
     data = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(items.astype("<u4").tobytes())])
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), kind, np.int64)), pa.array(rows["k"][new]), pa.array(rows["th"][new]), data], ["kind", "k", "th", "data"])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), SPANS, np.int64)), pa.array(rows["k"][new]), pa.array(rows["th"][new]), data, pa.nulls(len(sizes), pa.int64())], FIELDS)
+
+
+def left_over(rows: np.ndarray, kind: int) -> pa.RecordBatch:
+    """(kind, k, th, data, at): for each anchor its place, off and cnt in one number, and whether it is far in the last bit."""
+    at = rows["pos"].astype(np.int64) << 31 | rows["off"].astype(np.int64) << 16 | rows["cnt"].astype(np.int64) << 1 | (kind == FAR)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), kind, np.int64)), pa.array(rows["k"]), pa.array(rows["th"]), pa.nulls(len(rows), pa.binary()), pa.array(at)], FIELDS)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -204,8 +208,8 @@ def common_grams(rows: DataFrame, size: int, length: int) -> np.ndarray:
 
 
 def met(rows: DataFrame, n_ranges: int, common: np.ndarray, length: int) -> DataFrame:
-    """(kind, k, th, data): repeats within a batch, and anchors left for the suffix sort."""
-    fields = ["bucket", "kind", "k", "th", "data"]
+    """(kind, k, th, data, at): repeats within a batch, and anchors left for the suffix sort."""
+    fields = ["bucket", *FIELDS]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,7 +233,7 @@ def met(rows: DataFrame, n_ranges: int, common: np.ndarray, length: int) -> Data
         else:
             mark = hot = np.zeros(0, ANCHOR)
             hot = np.zeros(0, bool)
-        for done in (by_document(every[again], SPANS, length), by_document(rest[hot], FAR, length)):
+        for done in (by_document(every[again], length), left_over(rest[hot], FAR)):
             yield pa.RecordBatch.from_arrays([pa.array(n_ranges + done.column("k").to_numpy() % n_ranges), *done.columns], fields)
         rest = np.concatenate([rest[~hot], mark])
         if not len(rest):
@@ -239,11 +243,11 @@ def met(rows: DataFrame, n_ranges: int, common: np.ndarray, length: int) -> Data
         cuts = np.searchsorted(home[order], np.unique(home))
         blobs = [packed(rest[order[x:y]]) for x, y in zip(cuts, np.append(cuts[1:], len(order)))]
         none = pa.array(np.zeros(len(cuts), np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(home[order[cuts]]), pa.array(np.full(len(cuts), -1)), none, none, pa.array(blobs, pa.binary())], fields)
+        yield pa.RecordBatch.from_arrays([pa.array(home[order[cuts]]), pa.array(np.full(len(cuts), -1)), none, none, pa.array(blobs, pa.binary()), none], fields)
 
     def meet(table: pa.Table) -> pa.Table:
         kinds = table.column("kind").to_pylist()
-        passed = table.filter(pa.array([k >= 0 for k in kinds])).select(["kind", "k", "th", "data"])
+        passed = table.filter(pa.array([k >= 0 for k in kinds])).select(FIELDS)
         blobs = [x for x, k in zip(table.column("data").to_pylist(), kinds) if k < 0]
         if not blobs:
             return passed
@@ -255,11 +259,11 @@ def met(rows: DataFrame, n_ranges: int, common: np.ndarray, length: int) -> Data
         of = np.cumsum(new) - 1
         number, marked, real = number[of], marked[of], every["cnt"] > 0
         far = marked | (number > LED)
-        made = [by_document(every[real & far], FAR, length), by_document(every[real & ~far & (number > 1)], NEAR, length)]
+        made = [left_over(every[real & far], FAR), left_over(every[real & ~far & (number > 1)], NEAR)]
         return pa.concat_tables([passed, pa.Table.from_batches(made)])
 
-    blobs = rows.mapInArrow(find, "bucket long, kind long, k long, th long, data binary")
-    return written(blobs.groupBy("bucket").applyInArrow(meet, "kind long, k long, th long, data binary"), "suffix-anchors")
+    blobs = rows.mapInArrow(find, "bucket long, kind long, k long, th long, data binary, at long")
+    return written(blobs.groupBy("bucket").applyInArrow(meet, "kind long, k long, th long, data binary, at long"), "suffix-anchors")
 
 
 def multikey(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -339,7 +343,7 @@ def span_rows(k: np.ndarray, th: np.ndarray, p: np.ndarray, length: int, number=
     """(k, th, data): the intervals of repeated windows, by document; `number` of them from each place."""
     rows = np.zeros(len(k), ANCHOR)
     rows["k"], rows["th"], rows["pos"], rows["cnt"] = k, th, p, number
-    return by_document(rows, SPANS, length).select(["k", "th", "data"])
+    return by_document(rows, length).select(["k", "th", "data"])
 
 
 def cut_out(rows: DataFrame, left: DataFrame, length: int) -> DataFrame:
@@ -352,18 +356,17 @@ def cut_out(rows: DataFrame, left: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             out = []
             for i in range(batch.num_rows):
-                k, th, text, blobs = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_buffer().to_pybytes(), batch.column(3)[i].as_py()
-                at = np.concatenate([np.frombuffer(x, "<u4").reshape(-1, 4) for x in blobs]).T.astype(np.int64)
-                for pos, off, cnt, kind in at[:, np.argsort(at[0], kind="stable")].T.tolist():
-                    out.append((kind == FAR, text[pos : pos + GRAM], k, th, pos - off, text[pos - off : pos - off + cnt - 1 + length]))
+                k, th, text, at = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_buffer().to_pybytes(), np.sort(batch.column(3)[i].values.to_numpy())
+                for pos, off, cnt, far in zip(*((at >> shift & mask).tolist() for shift, mask in ((31, (1 << 32) - 1), (16, 0x7FFF), (1, 0x7FFF), (0, 1)))):
+                    out.append((far == 1, text[pos : pos + GRAM], k, th, pos - off, text[pos - off : pos - off + cnt - 1 + length]))
                 if len(out) >= 5_000:
                     yield as_batch(out)
                     out = []
             if out:
                 yield as_batch(out)
 
-    asked = left.groupBy("k", "th").agg(F.collect_list("data").alias("blobs"))
-    return rows.join(asked, ["k", "th"]).select("k", "th", "text", "blobs").mapInArrow(run, "far boolean, lead binary, k long, th long, p long, seg binary")
+    asked = left.groupBy("k", "th").agg(F.collect_list("at").alias("at"))
+    return rows.join(asked, ["k", "th"]).select("k", "th", "text", "at").mapInArrow(run, "far boolean, lead binary, k long, th long, p long, seg binary")
 
 
 def windows(segs: list[bytes], k: np.ndarray, th: np.ndarray, p: np.ndarray, length: int):
