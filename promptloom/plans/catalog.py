@@ -11,6 +11,7 @@ from ..functions import phrases, spans, text
 from ..operators import frames, lines, terms
 from ..operators.dictionary import default_rules
 from ..options import HYGIENE_KINDS, Options, SummaryOptions
+from ..sources.drafts import spread
 from ..streaming import watcher
 from . import augmented
 
@@ -608,7 +609,7 @@ def split_sentences(spark, sf_dir):
 
 def summary_query(name: str, options: SummaryOptions):
     def run(spark, sf_dir):
-        rows = documents(spark, sf_dir).select("doc_id", frames.summarize(F.col("text"), options).alias("s"))
+        rows = spread(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", frames.summarize(F.col("text"), options).alias("s"))
         return rows.select("doc_id", "s.summary", F.size("s.sentences").alias("sentences"), F.size(F.filter("s.sentences", lambda x: x["selected"])).alias("selected"))
 
     run.__name__ = name
