@@ -37,6 +37,8 @@ LEAF, SAMPLES, SHALLOW, DEEP, HOMES, ROWS = 2048, 16, 2, 16, 4096, 16384
 INNER = 256
 #: Frequent shingles that are told apart, and rows of prefixes for each bucket.
 COMMON, TOKENS = 200_000, 250_000
+#: Ids of asked documents that are broadcast at most (more are joined by a shuffle), and shingles of asked sets in one Arrow batch.
+WANTED, HELD = 500_000, 2_000_000
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -257,8 +259,8 @@ def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cut[:-1], cut[1:]
 
 
-def shared_prefixes(sets: DataFrame) -> DataFrame:
-    """(token, key, n, at) of the shingles that the prefixes of two sets share; at: the place in its set."""
+def shared_prefixes(sets: DataFrame, total: int) -> DataFrame:
+    """(token, key, n, at) of the shingles that the prefixes of two sets share, of about `total` in all; at: the place in its set."""
 
     def deal(batches):
         for batch in batches:
@@ -277,7 +279,6 @@ def shared_prefixes(sets: DataFrame) -> DataFrame:
         begin, end = runs(token[order])
         return table.select(["token", "key", "n", "at"]).take(pa.array(np.sort(order[np.repeat(end - begin > 1, end - begin)])))
 
-    total = sets.agg(F.sum(F.length("prefix") / 8)).first()[0] or 0
     tokens = sets.select("key", "n", "prefix").mapInArrow(deal, "token long, key long, n int, at int")
     return tokens.withColumn("bucket", F.pmod("token", F.lit(max(1, math.ceil(total / TOKENS))))).groupBy("bucket").applyInArrow(met, "token long, key long, n int, at int")
 
@@ -334,28 +335,39 @@ def plausible(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame
 
 
 def similar(pairs: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of keys whose sets have a Jaccard similarity of `similarity` or more."""
+    """The pairs (a, b) of keys whose sets have a Jaccard similarity of `similarity` or more.
 
-    def run(batches):
-        for batch in batches:
-            found = [np.unique(shingle_hashes(x or b"", shingle)) for x in as_bytes(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["key", "tokens"])
+    Sets are compared row by row in the JVM, so that a task holds two sets at a time, however long the texts.
+    """
 
-    def decide(batches):
+    def run(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            keys, sets, held = [], [], 0
+            for x in as_bytes(batch.column(0)):
+                found = np.unique(shingle_hashes(x or b"", shingle))
+                keys.append(set_key(found))
+                sets.append(found.view(np.int64))
+                held += len(found)
+                if held > HELD:
+                    yield rows_of(keys, sets)
+                    keys, sets, held = [], [], 0
+            yield rows_of(keys, sets)
+
+    def rows_of(keys, sets):
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+        tokens = pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), tokens)], ["key", "tokens"])
 
     asked = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    ids = reps.join(asked, "key", "left_semi").select(F.col("first").alias("wanted")).distinct()
+    ids = written(reps.join(asked, "key", "left_semi").select(F.col("first").alias("wanted")).distinct(), "simhash-wanted")
+    if ids.count() <= WANTED:
+        ids = F.broadcast(ids)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    sets = written(texts.join(ids, texts["id"] == ids["wanted"], "left_semi").select("text").mapInArrow(run, "key long, tokens binary").dropDuplicates(["key"]), "simhash-sets")
+    sets = written(texts.join(ids, texts["id"] == ids["wanted"], "left_semi").select("text").mapInArrow(run, "key long, tokens array<long>").dropDuplicates(["key"]), "simhash-sets")
     x, y = (sets.select(F.col("key").alias(k), F.col("tokens").alias("of_" + k)) for k in "ab")
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "of_a", "of_b").mapInArrow(decide, "a long, b long")
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    near = both >= similarity * (F.size("of_a") + F.size("of_b") - both) - 1e-9
+    return pairs.join(x, "a").join(y, "b").where(near).select("a", "b")
 
 
 def similar_components(fps: DataFrame, docs: DataFrame, shingle: int, radius: int, similarity: float) -> DataFrame:
@@ -372,7 +384,8 @@ def similar_components(fps: DataFrame, docs: DataFrame, shingle: int, radius: in
     labels = components(first.select(F.col("a").alias("u"), F.col("b").alias("v")), "simhash-labels")
     firsts = reps.select(F.col("key").alias("of"), F.col("first").alias("id"))
     sets = fps.join(firsts, (fps["key"] == firsts["of"]) & (fps["doc_id"] == firsts["id"]), "left_semi")
-    shared = written(shared_prefixes(sets), "simhash-shared")
+    total = fps.agg(F.sum(F.length("prefix") / 8)).first()[0] or 0
+    shared = written(shared_prefixes(sets, total), "simhash-shared")
     # few pairs that span each shingle's labels first: what they join needs no further asking, so a group is not expanded into its pairs
     span = written(plausible(pairs_apart(shared, labels, similarity, spanning=True), reps, similarity), "simhash-span")
     first = written(first.unionByName(similar(span, docs, reps, shingle, similarity)), "simhash-similar")

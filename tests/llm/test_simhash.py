@@ -116,10 +116,11 @@ def brute_similar(texts, n, least):
     return label
 
 
-@pytest.mark.parametrize("limits", [(200_000, 250_000), (3, 50)])
+@pytest.mark.parametrize("limits", [(200_000, 250_000, 500_000), (3, 50, 10)])
 def test_similarity_against_brute_force(spark, small, texts, monkeypatch, limits):
     monkeypatch.setattr(simhash, "COMMON", limits[0])
     monkeypatch.setattr(simhash, "TOKENS", limits[1])
+    monkeypatch.setattr(simhash, "WANTED", limits[2])
     rng = np.random.default_rng(4)
     vocabulary = [f"w{k}" for k in range(400)]
     common = list(rng.choice(vocabulary, 12))
