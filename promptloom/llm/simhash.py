@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import as_bytes, components, dropped, hash_keep, written
+from .shared import as_bytes, components, dropped, hash_keep, mixed, written
 
 #: Fingerprints that a leaf should hold, sampled ones for each leaf of a tree, least and greatest depth of it, homes and rows of one cell at most.
 LEAF, SAMPLES, SHALLOW, DEEP, HOMES, ROWS = 2048, 16, 2, 16, 4096, 16384
@@ -225,7 +225,7 @@ def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarr
 
 
 def shingle_sets(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(doc_id, fp, key, n, prefix, parity): the key stands for the set of n distinct shingles; two sets so similar share one of their prefixes, the rarest shingles of each."""
+    """(doc_id, fp, key, n, prefix, parity, fold): the key stands for the set of n distinct shingles; two sets so similar share one of their prefixes, the rarest shingles of each."""
     tokens, counts = common_shingles(docs, shingle)
 
     def run(batches):
@@ -237,15 +237,15 @@ def shingle_sets(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
                 at = np.minimum(np.searchsorted(tokens, found), max(0, len(tokens) - 1))
                 often = np.where(tokens[at] == found, counts[at], 0) if len(tokens) else np.zeros(len(found), np.int64)
                 first = found[np.argsort(often, kind="stable")][: len(found) - least_overlap(len(found), similarity) + 1]
-                rows.append((majority(hashes), set_key(found), len(found), first.tobytes(), parities(found)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())))], ["doc_id", "fp", "key", "n", "prefix", "parity"])
+                rows.append((majority(hashes), set_key(found), len(found), first.tobytes(), parities(found), parities(found, 256)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())))], ["doc_id", "fp", "key", "n", "prefix", "parity", "fold"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long, key long, n int, prefix binary, parity binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long, key long, n int, prefix binary, parity binary, fold binary")
 
 
-def parities(found: np.ndarray) -> bytes:
-    """Whether an odd number of the shingles falls on each of 1024 bits; those of two sets differ in no more bits than the sets in shingles."""
-    return np.packbits(np.bincount((found >> np.uint64(20) & np.uint64(1023)).astype(np.int64), minlength=1024) & 1).tobytes()
+def parities(found: np.ndarray, bits: int = 1024) -> bytes:
+    """Whether an odd number of the shingles falls on each of so many bits; those of two sets differ in no more bits than the sets in shingles."""
+    return np.packbits(np.bincount((found >> np.uint64(20) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
 
 
 def set_key(found: np.ndarray) -> int:
@@ -283,39 +283,48 @@ def shared_prefixes(sets: DataFrame, total: int) -> DataFrame:
     return tokens.withColumn("bucket", F.pmod("token", F.lit(max(1, math.ceil(total / TOKENS))))).groupBy("bucket").applyInArrow(met, "token long, key long, n int, at int")
 
 
-def pairs_apart(shared: DataFrame, labels: DataFrame, similarity: float, spanning: bool = False) -> DataFrame:
+def pairs_apart(shared: DataFrame, labels: DataFrame, reps: DataFrame, similarity: float, spanning: bool = False) -> DataFrame:
     """(a, b): all pairs of sets with different labels that share a shingle of their prefixes and may be so similar; spanning: of a
     shingle's labels, only the first with each and each with the next one, by a member each.
 
-    At the first shingle that two sets share nothing before it counts, so they share no more than what either has from there on.
+    At the first shingle that two sets share nothing before it counts, so they share no more than what either has from there on,
+    nor more than their short parities allow. Each shingle has an order of labels of its own, so a label spans to others at each.
     """
 
     def pairs(table: pa.Table) -> pa.Table:
         token, key, n, at, label = (table.column(x).to_numpy() for x in ("token", "key", "n", "at", "label"))
-        order = np.lexsort((label, token))
-        key, n, rest, label = key[order], n[order].astype(np.int64), (n - at)[order].astype(np.int64), label[order]
+        fold = np.frombuffer(b"".join(table.column("fold").to_pylist()), np.uint64).reshape(-1, 4)
+        order = np.lexsort((label, mixed(label.view(np.uint64) ^ mixed(token.view(np.uint64))), token))
+        key, n, rest, label, fold = key[order], n[order].astype(np.int64), (n - at)[order].astype(np.int64), label[order], fold[order]
+
+        def may(x, y):
+            """Which of the rows x may be so similar to the rows y."""
+            both = n[x] + n[y]
+            o = np.minimum(rest[x], rest[y])
+            o = np.minimum(o, (both - np.bitwise_count(fold[x] ^ fold[y]).sum(axis=-1, dtype=np.int64)) / 2)
+            return o >= similarity * (both - o) - 1e-6
+
         us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for a, b in zip(*runs(token[order])):
             begin, end = runs(label[a:b])
             if spanning:
                 heads = a + begin
                 x, y = np.concatenate([np.repeat(heads[:1], len(heads) - 1), heads[1:-1]]), np.concatenate([heads[1:], heads[2:]])
-                o = np.minimum(rest[x], rest[y])
-                near = o >= similarity * (n[x] + n[y] - o) - 1e-6
+                near = may(x, y)
                 us.append(key[x[near]])
                 vs.append(key[y[near]])
                 continue
             for x, y in zip((a + begin).tolist(), (a + end).tolist()):
                 for k in range(x, y if y < b else x):  # with all of later labels
-                    o = np.minimum(rest[k], rest[y:b])
-                    near = np.flatnonzero(o >= similarity * (n[k] + n[y:b] - o) - 1e-6)
+                    near = np.flatnonzero(may(k, slice(y, b)))
                     us.append(np.full(len(near), key[k]))
                     vs.append(key[y:b][near])
         u, v = np.concatenate(us), np.concatenate(vs)
         both = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
         return pa.table({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
 
-    named = shared.join(labels, shared["key"] == labels["node"], "left").select("token", "key", "n", "at", F.coalesce("component", "key").alias("label"))
+    marks = reps.join(labels, reps["key"] == labels["node"], "left").select("key", F.coalesce("component", "key").alias("label"), "fold")
+    named = shared.join(marks, "key").select("token", "key", "n", "at", "label", "fold")
     n = max(1, math.ceil(shared.count() / TOKENS))
     return named.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(n * 8))).groupBy("bucket").applyInArrow(pairs, "a long, b long").distinct()
 
@@ -376,7 +385,7 @@ def similar_components(fps: DataFrame, docs: DataFrame, shingle: int, radius: in
     Pairs within the radius are asked first; they join most of a large group, so that the pairs that share
     a shingle of their prefixes, which is every similar one, need asking only where still apart.
     """
-    reps = written(fps.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("parity").alias("parity")), "simhash-keys")
+    reps = written(fps.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("parity").alias("parity"), F.min("fold").alias("fold")), "simhash-keys")
     one = written(reps.groupBy("fp").agg(F.min("key").alias("first")), "simhash-reps")
     same = reps.join(one.withColumnRenamed("first", "a"), "fp").select("a", F.col("key").alias("b")).where("a <> b")
     near = written(links(one, radius).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).unionByName(same).distinct(), "simhash-near")
@@ -387,10 +396,10 @@ def similar_components(fps: DataFrame, docs: DataFrame, shingle: int, radius: in
     total = fps.agg(F.sum(F.length("prefix") / 8)).first()[0] or 0
     shared = written(shared_prefixes(sets, total), "simhash-shared")
     # few pairs that span each shingle's labels first: what they join needs no further asking, so a group is not expanded into its pairs
-    span = written(plausible(pairs_apart(shared, labels, similarity, spanning=True), reps, similarity), "simhash-span")
+    span = written(plausible(pairs_apart(shared, labels, reps, similarity, spanning=True), reps, similarity), "simhash-span")
     first = written(first.unionByName(similar(span, docs, reps, shingle, similarity)), "simhash-similar")
     labels = components(first.select(F.col("a").alias("u"), F.col("b").alias("v")), "simhash-labels")
-    apart = written(plausible(pairs_apart(shared, labels, similarity), reps, similarity), "simhash-pairs")
+    apart = written(plausible(pairs_apart(shared, labels, reps, similarity), reps, similarity), "simhash-pairs")
     dropped(docs.sparkSession, shared.shared_path)
     pairs = first.unionByName(similar(apart, docs, reps, shingle, similarity))
     ends = lambda k: reps.select(F.col("key").alias(k), F.col("first").alias("first_" + k))
