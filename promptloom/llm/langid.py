@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import byte_rows, mixed, row_blocks
+from .shared import byte_rows, frugal, mixed, row_blocks
 
 SIZES = (2, 3, 4)
 LETTER = r"\p{L}"
@@ -204,7 +204,7 @@ def identify(docs: DataFrame, model: dict | None) -> DataFrame:
             lang, score, rejected = judged(batch.column(1), model)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang.tolist(), pa.string()), pa.array(score), pa.array(rejected)], ["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(frugal(run), "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def accepted(docs: DataFrame, model: dict | None) -> DataFrame:
@@ -215,7 +215,7 @@ def accepted(docs: DataFrame, model: dict | None) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(~judged(batch.column(at).cast(pa.string()), model)[2]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
 
 
 def held_out():

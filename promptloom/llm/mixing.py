@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import byte_rows, hash_keep, mixed, row_blocks, written
+from .shared import byte_rows, frugal, hash_keep, mixed, row_blocks, written
 
 BUCKETS = 1 << 18
 FIGURES = 4
@@ -156,7 +156,7 @@ def posteriors(docs: DataFrame, model: dict | None) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1], dtype=np.int32)), pa.array(p.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens.astype(np.int64)), lists], ["doc_id", "n_tokens", "p"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, p array<double>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(frugal(run), "doc_id long, n_tokens long, p array<double>")
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -195,7 +195,7 @@ def solved(post: DataFrame, width: int, targets, rounds: int = 150, tolerance: f
                     total += np.concatenate([(r * n) @ p, (y * n) @ p, [moved @ n, n.sum()]])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total)], ["i", "x"])
 
-        rows = post.select("n_tokens", "p").mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
+        rows = post.select("n_tokens", "p").mapInArrow(frugal(run), "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
         out = np.zeros(size)
         for r in rows:
             out[r["i"]] = r["x"]
@@ -255,5 +255,5 @@ def weighted(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | Non
             domain = [names[k] for k in p.argmax(axis=1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(domain, pa.string()), batch.column(2), pa.array(rates_after(p, steps)[0])], ["doc_id", "n_tokens", "domain", "posterior", "rate"])
 
-    out = post.mapInArrow(run, "doc_id long, n_tokens long, domain string, posterior array<double>, rate double")
+    out = post.mapInArrow(frugal(run), "doc_id long, n_tokens long, domain string, posterior array<double>, rate double")
     return out.withColumn("copies", copies_of(F.col("rate")))

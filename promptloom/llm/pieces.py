@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import byte_rows, mixed, row_blocks
+from .shared import byte_rows, frugal, mixed, row_blocks
 
 #: The folder of public vocabularies is a parameter of the environment.
 MODEL = os.path.join(os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers"), "piece_bpe_32k.model")
@@ -297,7 +297,7 @@ def decode(voc: Vocabulary, ids: np.ndarray, counts: np.ndarray) -> tuple[np.nda
     return data[keep], ends - np.concatenate([[0], np.cumsum(counts > 0)])
 
 
-def segmented(docs: DataFrame, voc: Vocabulary, seed: int = 0, block: int = 1 << 19) -> DataFrame:
+def segmented(docs: DataFrame, voc: Vocabulary, seed: int = 0, block: int = 1 << 18) -> DataFrame:
     """(doc_id, ids, n_pieces, decoded_sha256, lossless) of each document."""
     shared = docs.sparkSession.sparkContext.broadcast(vars(voc))  # plain arrays
 
@@ -316,4 +316,4 @@ def segmented(docs: DataFrame, voc: Vocabulary, seed: int = 0, block: int = 1 <<
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(ids.astype(np.int32)), mask=pa.array(none[a:b]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists, pa.array(count), pa.array(sha, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "ids", "n_pieces", "decoded_sha256", "lossless"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>, n_pieces long, decoded_sha256 string, lossless boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(frugal(run), "doc_id long, ids array<int>, n_pieces long, decoded_sha256 string, lossless boolean")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import as_bytes, components, dropped, hash_keep, mixed, written
+from .shared import as_bytes, components, dropped, frugal, hash_keep, mixed, written
 
 #: Fingerprints that a leaf should hold, sampled ones for each leaf of a tree, least and greatest depth of it, homes and rows of one cell at most.
 LEAF, SAMPLES, SHALLOW, DEEP, HOMES, ROWS = 2048, 16, 2, 16, 4096, 16384
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
             fps = [majority(shingle_hashes(x or b"", shingle)) for x in as_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(frugal(run), "doc_id long, fp long")
 
 
 def parts_of(radius: int, parts: int = 4) -> list[tuple[int, int]]:
@@ -176,7 +176,7 @@ def links(reps: DataFrame, radius: int) -> DataFrame:
                     rows, home = rows[keep], home[keep]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), leaf * len(parts) + k)), pa.array(home), pa.array(first[rows]), pa.array(fp[rows])], ["shard", "home", "first", "fp"])
 
-    shards = written(reps.select("first", "fp").mapInArrow(route, "shard long, home boolean, first long, fp long"), "simhash-shards")
+    shards = written(reps.select("first", "fp").mapInArrow(frugal(route), "shard long, home boolean, first long, fp long"), "simhash-shards")
     # A shard with too many homes or rows is dealt out in cells (block of homes, block of all rows), so no task holds it whole.
     large = shards.groupBy("shard").agg(F.count_if("home").alias("h"), F.count("*").alias("n")).where((F.col("h") > HOMES) | (F.col("n") > ROWS))
     blocks = lambda c, most: F.coalesce(F.ceil(F.col(c) / most), F.lit(1)).cast("int")
@@ -218,7 +218,7 @@ def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarr
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["token", "n"])
 
     some = docs.where(hash_keep(F.col("doc_id").cast("long"), 1 / 8, 31)).select(F.col("text").cast("string").alias("text"))
-    rows = some.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n >= 4").orderBy(F.desc("n"), "token").limit(COMMON).toArrow()
+    rows = some.mapInArrow(frugal(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n >= 4").orderBy(F.desc("n"), "token").limit(COMMON).toArrow()
     tokens, n = rows.column("token").to_numpy().view(np.uint64), rows.column("n").to_numpy()
     order = np.argsort(tokens)
     return tokens[order], n[order]
@@ -240,7 +240,7 @@ def shingle_sets(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
                 rows.append((majority(hashes), set_key(found), len(found), first.tobytes(), parities(found), parities(found, 256)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())))], ["doc_id", "fp", "key", "n", "prefix", "parity", "fold"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long, key long, n int, prefix binary, parity binary, fold binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(frugal(run), "doc_id long, fp long, key long, n int, prefix binary, parity binary, fold binary")
 
 
 def parities(found: np.ndarray, bits: int = 1024) -> bytes:
@@ -279,7 +279,7 @@ def shared_prefixes(sets: DataFrame, total: int) -> DataFrame:
         begin, end = runs(token[order])
         return table.select(["token", "key", "n", "at"]).take(pa.array(np.sort(order[np.repeat(end - begin > 1, end - begin)])))
 
-    tokens = sets.select("key", "n", "prefix").mapInArrow(deal, "token long, key long, n int, at int")
+    tokens = sets.select("key", "n", "prefix").mapInArrow(frugal(deal), "token long, key long, n int, at int")
     return tokens.withColumn("bucket", F.pmod("token", F.lit(max(1, math.ceil(total / TOKENS))))).groupBy("bucket").applyInArrow(met, "token long, key long, n int, at int")
 
 
@@ -340,7 +340,7 @@ def plausible(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(most >= similarity * (n + m - most) - 1e-6))
 
     x, y = (reps.select(F.col("key").alias(k), F.col("n").alias("n_" + k), F.col("parity").alias("of_" + k)) for k in "ab")
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "of_a", "of_b").mapInArrow(run, "a long, b long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "of_a", "of_b").mapInArrow(frugal(run), "a long, b long")
 
 
 def similar(pairs: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -372,7 +372,7 @@ def similar(pairs: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int, si
     if ids.count() <= WANTED:
         ids = F.broadcast(ids)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    sets = written(texts.join(ids, texts["id"] == ids["wanted"], "left_semi").select("text").mapInArrow(run, "key long, tokens array<long>").dropDuplicates(["key"]), "simhash-sets")
+    sets = written(texts.join(ids, texts["id"] == ids["wanted"], "left_semi").select("text").mapInArrow(frugal(run), "key long, tokens array<long>").dropDuplicates(["key"]), "simhash-sets")
     x, y = (sets.select(F.col("key").alias(k), F.col("tokens").alias("of_" + k)) for k in "ab")
     both = F.size(F.array_intersect("of_a", "of_b"))
     near = both >= similarity * (F.size("of_a") + F.size("of_b") - both) - 1e-9
