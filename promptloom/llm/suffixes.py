@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ordered import NO_ID
-from .shared import byte_rows, dropped, hash_keep, mixed, row_blocks, written
+from .shared import byte_rows, dropped, frugal, frugal_group, hash_keep, mixed, row_blocks, written
 
 GRAM, LONGEST = 40, 30_000
 #: Bytes of text that a task compares within itself, and for each range of grams; surroundings of one gram in a batch from which it counts as common;
@@ -203,7 +203,7 @@ def common_grams(rows: DataFrame, size: int, length: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["key", "n"])
 
     least = max(SEEN, int(COMMON * share))
-    found = rows.where(hash_keep(F.col("k"), share, 29)).select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    found = rows.where(hash_keep(F.col("k"), share, 29)).select("text").mapInArrow(frugal(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return np.sort(found.select("key").toArrow().column(0).to_numpy().view(np.uint64))
 
 
@@ -262,8 +262,8 @@ def met(rows: DataFrame, n_ranges: int, common: np.ndarray, length: int) -> Data
         made = [left_over(every[real & far], FAR), left_over(every[real & ~far & (number > 1)], NEAR)]
         return pa.concat_tables([passed, pa.Table.from_batches(made)])
 
-    blobs = rows.mapInArrow(find, "bucket long, kind long, k long, th long, data binary, at long")
-    return written(blobs.groupBy("bucket").applyInArrow(meet, "kind long, k long, th long, data binary, at long"), "suffix-anchors")
+    blobs = rows.mapInArrow(frugal(find), "bucket long, kind long, k long, th long, data binary, at long")
+    return written(blobs.groupBy("bucket").applyInArrow(frugal_group(meet), "kind long, k long, th long, data binary, at long"), "suffix-anchors")
 
 
 def multikey(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -366,7 +366,7 @@ def cut_out(rows: DataFrame, left: DataFrame, length: int) -> DataFrame:
                 yield as_batch(out)
 
     asked = left.groupBy("k", "th").agg(F.collect_list("at").alias("at"))
-    return rows.join(asked, ["k", "th"]).select("k", "th", "text", "at").mapInArrow(run, "far boolean, lead binary, k long, th long, p long, seg binary")
+    return rows.join(asked, ["k", "th"]).select("k", "th", "text", "at").mapInArrow(frugal(run), "far boolean, lead binary, k long, th long, p long, seg binary")
 
 
 def windows(segs: list[bytes], k: np.ndarray, th: np.ndarray, p: np.ndarray, length: int):
@@ -411,7 +411,7 @@ def repeated_near(segs: DataFrame, n: int, length: int) -> DataFrame:
         if held:
             yield from done(pa.Table.from_batches(held))
 
-    return segs.repartitionByRange(n, "lead").sortWithinPartitions("lead", "k", "th", "p").mapInArrow(run, "k long, th long, data binary")
+    return segs.repartitionByRange(n, "lead").sortWithinPartitions("lead", "k", "th", "p").mapInArrow(frugal(run), "k long, th long, data binary")
 
 
 def repeated_far(segs: DataFrame, n: int, length: int) -> DataFrame:
@@ -449,8 +449,8 @@ def repeated_far(segs: DataFrame, n: int, length: int) -> DataFrame:
             m = rows.num_rows
             yield pa.RecordBatch.from_arrays([pa.array([pid] * m, pa.int64()), pa.array([first] * m, pa.binary()), pa.array([last] * m, pa.binary()), *rows.columns], ["pid", "first", "last", "k", "th", "data"])
 
-    single = segs.select("k", "th", "p", "seg").mapInArrow(explode, "w binary, k long, th long, p long")
-    found = written(single.repartitionByRange(n, "w", "k", "th", "p").mapInArrow(sort, "pid long, first binary, last binary, k long, th long, data binary"), "suffix-far")
+    single = segs.select("k", "th", "p", "seg").mapInArrow(frugal(explode), "w binary, k long, th long, p long")
+    found = written(single.repartitionByRange(n, "w", "k", "th", "p").mapInArrow(frugal(sort), "pid long, first binary, last binary, k long, th long, data binary"), "suffix-far")
     edges = found.where("first is not null").groupBy("pid").agg(F.first("first").alias("first"), F.first("last").alias("last")).orderBy("pid").collect()
     joined = [b["pid"] for a, b in zip(edges, edges[1:]) if a["last"] == b["first"]]
     return found.where(F.col("first").isNull() | F.col("pid").isin(joined)).select("k", "th", "data")
@@ -492,4 +492,4 @@ def cleaned(docs: DataFrame, length: int = 100, bytes_too: bool = True) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names)
 
     joined = rows.join(gone, ["k", "th"], "left").select("k", "text", "blobs")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return joined.mapInArrow(frugal(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

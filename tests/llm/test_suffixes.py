@@ -3,7 +3,7 @@ import hashlib
 import numpy as np
 import pytest
 
-from promptloom.llm import queries, suffixes
+from promptloom.llm import queries, shared, suffixes
 
 
 def brute(rows, length=100):
@@ -105,3 +105,22 @@ def test_multikey_sort(n):
         want = sorted(range(n), key=lambda i: (tuple(words[i]), i))
         assert order.tolist() == want
         assert head.tolist() == [k == 0 or tuple(words[want[k]]) != tuple(words[want[k - 1]]) for k in range(n)]
+
+
+def test_workers_give_memory_back(spark, monkeypatch):
+    """Every Python function that the operator sends out is one that gives freed memory back after its task or group."""
+    sent = []
+    kinds = (type(spark.range(1)), "mapInArrow"), (type(spark.range(1).groupBy("id")), "applyInArrow")
+    for kind, name in kinds:
+        monkeypatch.setattr(kind, name, lambda self, run, *a, f=getattr(kind, name), **b: sent.append(run.__qualname__) or f(self, run, *a, **b))
+    for name, value in TINY.items():
+        monkeypatch.setattr(suffixes, name, value)
+    assert suffixes.cleaned(spark.createDataFrame([(i, "abcdefgh " * 40 + str(i)) for i in range(20)], "doc_id long, text string")).count() == 20
+    assert len(sent) >= 5 and {x.split(".")[0] for x in sent} == {"frugal", "frugal_group"}
+
+
+def test_memory_goes_back_after_each_group(monkeypatch):
+    back = []
+    monkeypatch.setattr(shared, "given_back", lambda: back.append(1))
+    group = shared.frugal_group(lambda table: table * 2)
+    assert [group(k) for k in (1, 2)] == [2, 4] and len(back) == 2
