@@ -72,8 +72,7 @@ def code_tokens(text: Column, stopwords) -> Column:
     """Lower-cased words of two letters or more, without stop words, as the summarizer counts them."""
     words = F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9]+(?:['\u2019][A-Za-z]+)?)"), F.lit(1))
     folded = F.transform(words, lambda w: F.lower(F.translate(w, "\u2019", "'")))
-    stop = F.array(*(F.lit(w) for w in sorted(stopwords)))
-    return F.filter(folded, lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))
+    return F.filter(folded, lambda w: (F.length(w) > 1) & ~w.isin(*sorted(stopwords)))  # a hash set to Spark, no list
 
 
 def prefix_length(a: Column, b: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.phrases import STOPWORDS
@@ -27,13 +27,27 @@ def tfidf_of(terms: DataFrame, idf: DataFrame, doc: str, sent: str) -> DataFrame
     return terms.join(idf, [doc, "term"]).select(doc, sent, "term", (F.col("n") / F.col("len") * F.col("idf")).alias("weight"))
 
 
-def centroid_cosine(tfidf: DataFrame, sentences: DataFrame, doc: str, sent: str) -> DataFrame:
-    """(doc, sent, cosine): likeness of each sentence to the mean of its document's vectors."""
-    n = sentences.groupBy(doc).agg(F.count("*").alias("sentences"))
-    mean = tfidf.groupBy(doc, "term").agg(F.sum("weight").alias("w")).join(n, doc).select(doc, "term", (F.col("w") / F.col("sentences")).alias("m"))
-    norm = mean.groupBy(doc).agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("mean_norm"))
-    dot = tfidf.join(mean, [doc, "term"]).groupBy(doc, sent).agg(F.sum(F.col("weight") * F.col("m")).alias("dot"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    return dot.join(norm, doc).select(doc, sent, (F.col("dot") / (F.col("norm") * F.col("mean_norm"))).alias("cosine"))
+def centroid_cosine(sentences: DataFrame, doc: str, sent: str, text: str = "text") -> DataFrame:
+    """(doc, sent, cosine): likeness of each sentence's TF-IDF vector to the mean of its document's vectors.
+
+    Sentences are dealt out by document once, before they are split into terms; all counts and sums are then windows and groups within
+    a document. The mean's squared norm is the mean of its products with the vectors. Null documents have no rows.
+    """
+    # a fixed number of partitions: joined into larger ones, terms wouldn't fit in memory when sorted
+    parts = int(sentences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = sentences.where(F.col(doc).isNotNull()).select(doc, sent, text).repartition(parts, doc)
+    n = F.count("*").over(Window.partitionBy(doc)).alias("sentences")
+    words = dealt.select(doc, sent, text, n).select(doc, sent, "sentences", code_tokens(F.col(text), STOPWORDS).alias("tokens"))
+    # an outer explode, since Spark filters by the size of the array before an inner one, and so makes the tokens twice
+    terms = words.select(doc, sent, "sentences", F.size("tokens").cast("long").alias("len"), F.explode_outer("tokens").alias("term"))
+    terms = terms.where("term is not null").groupBy(doc, sent, "sentences", "len", "term").agg(F.count("*").alias("n"))
+    same = Window.partitionBy(doc, "term")
+    idf = F.log((1 + F.col("sentences")) / (1 + F.count("*").over(same))) + 1
+    weights = terms.select(doc, sent, "term", "sentences", (F.col("n") / F.col("len") * idf).alias("weight"))
+    means = weights.select(doc, sent, "sentences", "weight", (F.sum("weight").over(same) / F.col("sentences")).alias("m"))
+    dots = means.groupBy(doc, sent, "sentences").agg(F.sum(F.col("weight") * F.col("m")).alias("dot"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    mean_norm = F.sqrt(F.sum("dot").over(Window.partitionBy(doc)) / F.col("sentences"))
+    return dots.select(doc, sent, (F.col("dot") / (F.col("norm") * mean_norm)).alias("cosine"))
 
 
 def position_score(index, n):

@@ -574,9 +574,7 @@ SELECT doc_id, line_no, round(sum(w * m) / (sqrt(sum(w * w)) * any_value(norm)),
 )
 def sentence_centroid(spark, sf_dir):
     rows = line_rows(spark, sf_dir)
-    t = terms.terms_of(rows, "doc_id", "line_no")
-    weights = terms.tfidf_of(t, terms.idf_of(t, rows, "doc_id"), "doc_id", "line_no")
-    return terms.centroid_cosine(weights, rows, "doc_id", "line_no").select("doc_id", "line_no", F.round("cosine", 6).alias("cosine"))
+    return terms.centroid_cosine(rows, "doc_id", "line_no").select("doc_id", "line_no", F.round("cosine", 6).alias("cosine"))
 
 
 @query(
