@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import as_bytes, components, dropped, frugal, hash_keep, mixed, written
+from .shared import as_bytes, components, dropped, frugal, hash_keep, written
 
 #: Fingerprints that a leaf should hold, sampled ones for each leaf of a tree, least and greatest depth of it, homes and rows of one cell at most.
 LEAF, SAMPLES, SHALLOW, DEEP, HOMES, ROWS = 2048, 16, 2, 16, 4096, 16384
@@ -39,6 +39,8 @@ INNER = 256
 COMMON, TOKENS = 200_000, 250_000
 #: Ids of asked documents that are broadcast at most (more are joined by a shuffle), and shingles of asked sets in one Arrow batch.
 WANTED, HELD = 500_000, 2_000_000
+#: Bits of the short parities, by which pairs are ruled out before they leave their shingle.
+SHORT = 512
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -237,7 +239,7 @@ def shingle_sets(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
                 at = np.minimum(np.searchsorted(tokens, found), max(0, len(tokens) - 1))
                 often = np.where(tokens[at] == found, counts[at], 0) if len(tokens) else np.zeros(len(found), np.int64)
                 first = found[np.argsort(often, kind="stable")][: len(found) - least_overlap(len(found), similarity) + 1]
-                rows.append((majority(hashes), set_key(found), len(found), first.tobytes(), parities(found), parities(found, 256)))
+                rows.append((majority(hashes), set_key(found), len(found), first.tobytes(), parities(found), parities(found, SHORT)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())))], ["doc_id", "fp", "key", "n", "prefix", "parity", "fold"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(frugal(run), "doc_id long, fp long, key long, n int, prefix binary, parity binary, fold binary")
@@ -284,39 +286,51 @@ def shared_prefixes(sets: DataFrame, total: int) -> DataFrame:
 
 
 def pairs_apart(shared: DataFrame, labels: DataFrame, reps: DataFrame, similarity: float, spanning: bool = False) -> DataFrame:
-    """(a, b): all pairs of sets with different labels that share a shingle of their prefixes and may be so similar; spanning: of a
-    shingle's labels, only the first with each and each with the next one, by a member each.
+    """(a, b): all pairs of sets with different labels that share a shingle of their prefixes and may be so similar; spanning: of these
+    only enough to span the labels that they join, the likeliest of each set with a label first, so fewer than there are labels in a bucket.
 
     At the first shingle that two sets share nothing before it counts, so they share no more than what either has from there on,
-    nor more than their short parities allow. Each shingle has an order of labels of its own, so a label spans to others at each.
+    nor more than their short parities allow.
     """
 
     def pairs(table: pa.Table) -> pa.Table:
         token, key, n, at, label = (table.column(x).to_numpy() for x in ("token", "key", "n", "at", "label"))
-        fold = np.frombuffer(b"".join(table.column("fold").to_pylist()), np.uint64).reshape(-1, 4)
-        order = np.lexsort((label, mixed(label.view(np.uint64) ^ mixed(token.view(np.uint64))), token))
+        fold = np.frombuffer(b"".join(table.column("fold").to_pylist()), np.uint64).reshape(-1, SHORT // 64)
+        order = np.lexsort((label, token))
         key, n, rest, label, fold = key[order], n[order].astype(np.int64), (n - at)[order].astype(np.int64), label[order], fold[order]
 
-        def may(x, y):
-            """Which of the rows x may be so similar to the rows y."""
+        def spare(x, y):
+            """By how much the most that the rows x and y may share is over what they need; below 0: not so similar."""
             both = n[x] + n[y]
             o = np.minimum(rest[x], rest[y])
             o = np.minimum(o, (both - np.bitwise_count(fold[x] ^ fold[y]).sum(axis=-1, dtype=np.int64)) / 2)
-            return o >= similarity * (both - o) - 1e-6
+            return o - similarity * (both - o) + 1e-6
 
         us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        top = {x: x for x in np.unique(label).tolist()}  # of labels that a pair joins
+
+        def root(x):
+            while top[x] != x:
+                top[x] = x = top[top[x]]
+            return x
+
         for a, b in zip(*runs(token[order])):
             begin, end = runs(label[a:b])
-            if spanning:
-                heads = a + begin
-                x, y = np.concatenate([np.repeat(heads[:1], len(heads) - 1), heads[1:-1]]), np.concatenate([heads[1:], heads[2:]])
-                near = may(x, y)
-                us.append(key[x[near]])
-                vs.append(key[y[near]])
+            if len(begin) == 1:
                 continue
             for x, y in zip((a + begin).tolist(), (a + end).tolist()):
                 for k in range(x, y if y < b else x):  # with all of later labels
-                    near = np.flatnonzero(may(k, slice(y, b)))
+                    room = spare(k, slice(y, b))
+                    near = np.flatnonzero(room >= 0)
+                    if spanning and len(near):
+                        near = near[np.argsort(-room[near], kind="stable")]
+                        near = near[np.sort(np.unique(label[y:b][near], return_index=True)[1])]  # the likeliest of each label
+                        kept, own = [], root(int(label[k]))
+                        for i in near.tolist():
+                            if (other := root(int(label[y + i]))) != own:
+                                top[other] = own
+                                kept.append(i)
+                        near = np.array(kept, np.int64)
                     us.append(np.full(len(near), key[k]))
                     vs.append(key[y:b][near])
         u, v = np.concatenate(us), np.concatenate(vs)
@@ -395,7 +409,7 @@ def similar_components(fps: DataFrame, docs: DataFrame, shingle: int, radius: in
     sets = fps.join(firsts, (fps["key"] == firsts["of"]) & (fps["doc_id"] == firsts["id"]), "left_semi")
     total = fps.agg(F.sum(F.length("prefix") / 8)).first()[0] or 0
     shared = written(shared_prefixes(sets, total), "simhash-shared")
-    # few pairs that span each shingle's labels first: what they join needs no further asking, so a group is not expanded into its pairs
+    # few pairs that span the labels of each bucket first: what they join needs no further asking, so a group is not expanded into its pairs
     span = written(plausible(pairs_apart(shared, labels, reps, similarity, spanning=True), reps, similarity), "simhash-span")
     first = written(first.unionByName(similar(span, docs, reps, shingle, similarity)), "simhash-similar")
     labels = components(first.select(F.col("a").alias("u"), F.col("b").alias("v")), "simhash-labels")

@@ -139,3 +139,21 @@ def test_similarity_against_brute_force(spark, small, texts, monkeypatch, limits
     assert got == want and len(set(want.values())) < len(want)
     apart = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame, similarity=None).collect()}
     assert sum(want[i] != apart[i] for i in made) > 20
+
+
+def test_a_group_is_spanned_not_expanded(spark):
+    """Sets that share a shingle and are all alike make fewer pairs than there are sets, in whatever bits they differ."""
+    rng = np.random.default_rng(6)
+    base = rng.choice(2**60, 100, replace=False)
+    sets = [np.unique(np.concatenate([base[4:], rng.choice(2**60, 4)])).view(np.uint64) for _ in range(60)]
+    sets += [np.unique(np.concatenate([base[:1], rng.choice(2**60, 99)])).view(np.uint64) for _ in range(60)]  # share a shingle, else apart
+    reps = spark.createDataFrame([(k, bytearray(simhash.parities(x, simhash.SHORT))) for k, x in enumerate(sets)], "key long, fold binary")
+    shared = spark.createDataFrame([(t, k, len(x), 0) for k, x in enumerate(sets) for t in (5, 6, 7)], "token long, key long, n int, at int")
+    labels = spark.createDataFrame([], "node long, component long")
+    span = [tuple(r) for r in simhash.pairs_apart(shared, labels, reps, 0.8, spanning=True).collect()]
+    every = {tuple(r) for r in simhash.pairs_apart(shared, labels, reps, 0.8).collect()}
+    alike = {(a, b) for a in range(60) for b in range(a + 1, 60)}
+    assert every == alike  # parities rule the others out
+    assert set(span) <= every and len(span) <= 3 * 59
+    found = {r.node: r.component for r in components(spark.createDataFrame(span, "u long, v long")).collect()}
+    assert found == {k: 0 for k in range(60)}
